@@ -34,3 +34,14 @@ def word_count(text: Column) -> Column:
 def fits_broadcast(df: DataFrame, bytes_of: Column, limit: int = BROADCAST_BYTES) -> bool:
     """Measure a side before it is broadcast: the sum of ``bytes_of`` over its rows against ``limit``."""
     return (df.agg(F.sum(bytes_of)).first()[0] or 0) <= limit
+
+
+def attach(big: DataFrame, small: DataFrame, big_key: str, small_key: str, how: str, null_safe: bool = False, also: Column | None = None, size: int | None = None, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """Join a table of texts with a narrow one: inside the scan if the narrow one is proven small, else by a shuffle.
+
+    ``small`` must be a written table: it is measured (``size`` bytes, else 32 bytes a row) before it is joined.
+    """
+    on = F.col(big_key).eqNullSafe(F.col(small_key)) if null_safe else F.col(big_key) == F.col(small_key)
+    on = on if also is None else on & also
+    fits = (small.count() * 32 if size is None else size) <= limit
+    return big.join(F.broadcast(small) if fits else small, on, how)

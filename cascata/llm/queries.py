@@ -7,15 +7,24 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cascata.llm import decontam, line_dedup, mixing, warc
+from cascata.llm import decontam, line_dedup, mixing, ngram_join, substring_dedup, warc
 from cascata.session import table
 
 
+def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.link_documents(table(spark, sf_dir, "documents"))
+
+
 def op4_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_dedup.drop_boilerplate(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "lines_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"))
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = substring_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -30,13 +39,30 @@ def op10_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_ngram_jaccard": op2_ngram_jaccard,
         "op4_line_frequency": op4_line_frequency,
+        "op5_substring_dedup": op5_substring_dedup,
         "op6_decontamination": op6_decontamination,
         "op8_warc_transactions": op8_warc_transactions,
         "op10_mixture": op10_mixture,
     }
 
 
+OP2_SQL = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+shingles AS (
+  SELECT DISTINCT doc_id, array_to_string(w[s : s + least(len(w), 5) - 1], ' ') AS g
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - least(len(w), 5) + 2)) AS s FROM words WHERE len(w) > 0)),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+links AS (
+  SELECT a.doc_id AS a, b.doc_id AS b FROM shingles a JOIN shingles b USING (g) JOIN sizes x ON x.doc_id = a.doc_id JOIN sizes y ON y.doc_id = b.doc_id
+  WHERE a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id, x.n, y.n HAVING 100 * count(*) >= 75 * (x.n + y.n - count(*))),
+reach AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT reach.a, links.b FROM reach JOIN links ON links.a = reach.b)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, (SELECT min(b) FROM reach WHERE reach.a = documents.doc_id) AS component_id
+FROM documents LEFT JOIN sizes USING (doc_id)
+"""
+
 OP4_SQL = f"""
 WITH lines AS (
   SELECT doc_id, source, i, l, trim(translate(l, chr(9) || chr(13), '  '), ' ') AS k FROM (
@@ -54,6 +80,20 @@ SELECT doc_id, count(*) FILTER (WHERE dropped) AS lines_dropped,
 FROM marked GROUP BY doc_id
 """
 
+OP5_SQL = r"""
+WITH words AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+windows AS (
+  SELECT doc_id, s, array_to_string(w[s : s + 12], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS s FROM words WHERE len(w) >= 13)),
+firsts AS (SELECT g, min(doc_id) AS f FROM windows GROUP BY g HAVING min(doc_id) < max(doc_id)),
+gone AS (SELECT DISTINCT doc_id, unnest(range(s, s + 13)) AS i FROM windows JOIN firsts USING (g) WHERE doc_id > f),
+each AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS i FROM words),
+kept AS (
+  SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY i) AS t FROM each
+  WHERE NOT EXISTS (SELECT 1 FROM gone WHERE gone.doc_id = each.doc_id AND gone.i = each.i) GROUP BY doc_id)
+SELECT words.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM words LEFT JOIN kept ON kept.doc_id = words.doc_id
+"""
+
 OP6_SQL = r"""
 WITH lowered AS (
   SELECT doc_id AS id, false AS item, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents
@@ -85,4 +125,4 @@ FROM d LEFT JOIN f USING (payload_digest)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_line_frequency": OP4_SQL, "op6_decontamination": OP6_SQL, "op8_warc_transactions": OP8_SQL}
+    return {"op2_ngram_jaccard": OP2_SQL, "op5_substring_dedup": OP5_SQL, "op4_line_frequency": OP4_SQL, "op6_decontamination": OP6_SQL, "op8_warc_transactions": OP8_SQL}

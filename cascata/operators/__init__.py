@@ -1 +1 @@
-
+"""Relational, window, graph and rule operators of the engine."""

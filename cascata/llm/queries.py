@@ -7,14 +7,22 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cascata.llm import decontam, line_dedup, mixing, ngram_join, substring_dedup, warc
+from cascata.llm import ann_aq, decontam, langid, licenses, line_dedup, mixing, ngram_join, substring_dedup, warc
 from cascata.session import table
 
 
+def op1_additive_quantisation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann_aq.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
 def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.link_documents(table(spark, sf_dir, "documents"))
 
 
+def op3_license_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op4_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_dedup.drop_boilerplate(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "lines_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"))
@@ -29,6 +37,11 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    return langid.predict(documents, langid.fit(documents))
+
+
 def op8_warc_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
@@ -39,10 +52,13 @@ def op10_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_additive_quantisation": op1_additive_quantisation,
         "op2_ngram_jaccard": op2_ngram_jaccard,
+        "op3_license_digests": op3_license_digests,
         "op4_line_frequency": op4_line_frequency,
         "op5_substring_dedup": op5_substring_dedup,
         "op6_decontamination": op6_decontamination,
+        "op7_language_id": op7_language_id,
         "op8_warc_transactions": op8_warc_transactions,
         "op10_mixture": op10_mixture,
     }
@@ -63,6 +79,32 @@ SELECT doc_id, coalesce(n, 0) AS n_shingles, (SELECT min(b) FROM reach WHERE rea
 FROM documents LEFT JOIN sizes USING (doc_id)
 """
 
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def _pairs(rows: dict[str, str]) -> str:
+    return ", ".join(f"({_quoted(a)}, {_quoted(b)})" for a, b in rows.items())
+
+
+_CANON = (
+    r"trim(regexp_replace(translate(replace(array_to_string(list_filter(string_split(coalesce({0}, ''), chr(10)), lambda x: NOT regexp_matches(x, "
+    + _quoted(licenses.COPYRIGHT_LINE)
+    + r")), chr(10)), '-', ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+', ' ', 'g'))"
+)
+OP3_SQL = f"""
+WITH swap AS (SELECT map_from_entries([{", ".join(f"({_quoted(a)}, {_quoted(b)})" for a, b in licenses.EQUIVALENT_WORDS.items())}]) AS m),
+known(d, license_id) AS (VALUES {_pairs({licenses.digest(t): n for n, t in licenses.LICENSES.items()})}),
+notice(d, name) AS (VALUES {_pairs({licenses.digest(x): n for n, xs in licenses.NOTICES.items() for x in xs})}),
+canon AS (SELECT doc_id, array_to_string(list_transform(string_split({_CANON.replace("{0}", "text")}, ' '), lambda w: coalesce(m[w], w)), ' ') AS c FROM documents, swap),
+lines AS (SELECT doc_id, unnest(list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: contains(x, '{licenses.NOTICE_PART}'))) AS l FROM documents),
+named AS (
+  SELECT doc_id, string_agg(DISTINCT name, ',' ORDER BY name) AS notices
+  FROM (SELECT doc_id, sha256(array_to_string(list_transform(string_split({_CANON.replace("{0}", "l")}, ' '), lambda w: coalesce(m[w], w)), ' ')) AS d FROM lines, swap) JOIN notice USING (d) GROUP BY doc_id)
+SELECT canon.doc_id, CASE WHEN c = '' THEN 0 ELSE length(c) - length(replace(c, ' ', '')) + 1 END AS n_words, sha256(c) AS canonical_sha256, license_id, coalesce(notices, '') AS notices
+FROM canon LEFT JOIN known ON known.d = sha256(c) LEFT JOIN named ON named.doc_id = canon.doc_id
+"""
+
 OP4_SQL = f"""
 WITH lines AS (
   SELECT doc_id, source, i, l, trim(translate(l, chr(9) || chr(13), '  '), ' ') AS k FROM (
@@ -125,4 +167,4 @@ FROM d LEFT JOIN f USING (payload_digest)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_ngram_jaccard": OP2_SQL, "op5_substring_dedup": OP5_SQL, "op4_line_frequency": OP4_SQL, "op6_decontamination": OP6_SQL, "op8_warc_transactions": OP8_SQL}
+    return {"op3_license_digests": OP3_SQL, "op2_ngram_jaccard": OP2_SQL, "op5_substring_dedup": OP5_SQL, "op4_line_frequency": OP4_SQL, "op6_decontamination": OP6_SQL, "op8_warc_transactions": OP8_SQL}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cascata.llm import ann_aq, decontam, langid, licenses, line_dedup, mixing, ngram_join, substring_dedup, warc
+from cascata.llm import ann_aq, decontam, html_extract, langid, licenses, line_dedup, mixing, ngram_join, substring_dedup, warc
 from cascata.session import table
 
 
@@ -46,6 +46,10 @@ def op8_warc_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op9_wrapper_induction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.main_text(table(spark, sf_dir, "pages"))
+
+
 def op10_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -60,6 +64,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_decontamination": op6_decontamination,
         "op7_language_id": op7_language_id,
         "op8_warc_transactions": op8_warc_transactions,
+        "op9_wrapper_induction": op9_wrapper_induction,
         "op10_mixture": op10_mixture,
     }
 

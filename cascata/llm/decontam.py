@@ -15,7 +15,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cascata.llm.common import fits_broadcast, normal_words
+from cascata.llm.common import attach, fits_broadcast, normal_words
+from cascata.session import materialize
 
 WINDOW = 10
 _MARK = -7046029254386353131  # stands before the windows of each document, so that documents without hits keep a row
@@ -62,23 +63,23 @@ def _covered(spans: Column) -> Column:
 
 
 def hits(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """Per document: row_key, doc_id, n_words, the hit spans (start, end) of words from 0, and the items that occur."""
+    """Per document: row_key, doc_id, text_key (a hash of its text), n_words, the hit spans (start, end) of words from 0, and the items that occur."""
     known = benchmark_windows(benchmark, window)
     lengths = sorted(r[0] for r in known.select(F.size("w_words")).distinct().collect())  # at most ``window`` values
     docs = documents.select(
-        F.monotonically_increasing_id().alias("row_key"), F.col("doc_id"), normal_words(F.col("text")).alias("words")
+        F.monotonically_increasing_id().alias("row_key"), F.col("doc_id"), F.xxhash64("text").alias("text_key"), normal_words(F.col("text")).alias("words")
     )
     if not lengths:
         none = F.array().cast("array<struct<start:int,end:int>>")
-        return docs.select("row_key", "doc_id", F.size("words").cast("long").alias("n_words"), none.alias("spans"), F.array().cast("array<string>").alias("items"))
+        return docs.select("row_key", "doc_id", "text_key", F.size("words").cast("long").alias("n_words"), none.alias("spans"), F.array().cast("array<string>").alias("items"))
     mark = known.sparkSession.range(1).select(
         F.lit(_MARK).cast("long").alias("w_hash"), F.array().cast("array<string>").alias("w_words"), F.lit(None).cast(dict(known.dtypes)["item_id"]).alias("item_id")
     )
     known = known.unionByName(mark)
-    listed = docs.select("row_key", "doc_id", "words", F.concat(F.array(F.lit(_MARK).cast("long")), *[_hashes(n) for n in lengths]).alias("hashes"))
+    listed = docs.select("row_key", "doc_id", "text_key", "words", F.concat(F.array(F.lit(_MARK).cast("long")), *[_hashes(n) for n in lengths]).alias("hashes"))
     small = fits_broadcast(known, F.octet_length(F.to_json("w_words")) + 64)
     if small:
-        found = listed.select("row_key", "doc_id", "words", F.posexplode("hashes").alias("at", "w_hash")).join(F.broadcast(known), "w_hash")
+        found = listed.select("row_key", "doc_id", "text_key", "words", F.posexplode("hashes").alias("at", "w_hash")).join(F.broadcast(known), "w_hash")
     else:
         keyed = documents.select("doc_id", F.xxhash64("text").alias("text_key"), normal_words(F.col("text")).alias("words"))
         keyed = keyed.groupBy("doc_id", "text_key").agg(F.first("words").alias("words"), F.count("*").alias("copies"))
@@ -88,15 +89,15 @@ def hits(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> Da
         same = (F.col("a.doc_id").eqNullSafe(F.col("k.doc_id"))) & (F.col("a.text_key").eqNullSafe(F.col("k.text_key")))
         found = at.alias("a").join(keyed.alias("k"), same).select(
             F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("row_key"), F.col("k.doc_id").alias("doc_id"), F.col("k.text_key").alias("text_key"), "words", "at", "w_words", "item_id"
-        ).withColumn("row_key", F.struct("row_key", "text_key")).drop("text_key")
+        )
     start, size = _position(lengths)
-    found = found.select("row_key", "doc_id", "words", "at", "w_words", "item_id", start.alias("start"), size.alias("size"))
+    found = found.select("row_key", "doc_id", "text_key", "words", "at", "w_words", "item_id", start.alias("start"), size.alias("size"))
     true_hit = (F.col("at") == 0) | F.slice("words", F.coalesce("start", F.lit(1)), F.coalesce("size", F.lit(0))).eqNullSafe(F.col("w_words"))
     span = F.when(F.col("at") > 0, F.struct((F.col("start") - 1).alias("start"), (F.col("start") - 1 + F.col("size")).alias("end")))
     return (
         found.where(true_hit)
-        .select("row_key", "doc_id", F.size("words").cast("long").alias("n_words"), span.alias("span"), F.col("item_id").cast("string").alias("item"))
-        .groupBy("row_key", "doc_id")
+        .select("row_key", "doc_id", "text_key", F.size("words").cast("long").alias("n_words"), span.alias("span"), F.col("item_id").cast("string").alias("item"))
+        .groupBy("row_key", "doc_id", "text_key")
         .agg(F.max("n_words").alias("n_words"), F.collect_set("span").alias("spans"), F.collect_set("item").alias("items"))
     )
 
@@ -121,13 +122,12 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, window: int = WIND
     """
     if remove not in ("documents", "spans"):
         raise ValueError(f"remove must be 'documents' or 'spans', not {remove!r}")
-    slim = documents.select("doc_id", "text").dropDuplicates()
-    found = hits(slim.withColumn("text_key", F.xxhash64("text")), benchmark, window)
+    found = hits(documents.select("doc_id", "text"), benchmark, window).where(F.size("spans") > 0)
     if remove == "documents":
-        bad = found.where(F.size("spans") > 0).select(F.col("doc_id").alias("_bad_id")).distinct()
-        return documents.join(bad, F.col("doc_id").eqNullSafe(F.col("_bad_id")), "left_anti")
-    spans = found.groupBy(F.col("doc_id").alias("_id")).agg(F.flatten(F.collect_list("spans")).alias("_spans"))
-    joined = documents.join(spans, F.col("doc_id").eqNullSafe(F.col("_id")), "left")
+        bad = materialize(found.select(F.col("doc_id").alias("_bad_id")).distinct(), "decontam-bad")
+        return attach(documents, bad, "doc_id", "_bad_id", "left_anti", null_safe=True)
+    spans = found.groupBy(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).agg(F.first("spans").alias("_spans"))
+    joined = documents.join(spans, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_key")), "left")
     words = normal_words(F.col("text"))
     kept = F.filter(F.transform(words, lambda w, i: F.when(F.exists("_spans", lambda s: (i >= s["start"]) & (i < s["end"])), F.lit(None)).otherwise(w)), lambda w: w.isNotNull())
-    return joined.withColumn("clean_text", F.array_join(kept, " ")).drop("_id", "_spans")
+    return joined.withColumn("clean_text", F.array_join(kept, " ")).drop("_id", "_key", "_spans")

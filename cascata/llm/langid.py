@@ -207,17 +207,26 @@ def fit(documents: DataFrame, per_label: int = SAMPLE_PER_LABEL, most: int = SAM
     return model
 
 
-def predict(documents: DataFrame, model: Model | None) -> DataFrame:
-    """doc_id, held_out, lang_pred, score for every row of ``documents`` (doc_id, text)."""
+def annotate(documents: DataFrame, model: Model | None, carry: list[str]) -> DataFrame:
+    """The ``carry`` columns of ``documents`` with lang_pred and score, which replace columns of those names."""
     shared = documents.sparkSession.sparkContext.broadcast(model)  # bins x labels weights, whatever the corpus
+    carry = [c for c in carry if c not in ("lang_pred", "score")]
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared.value
         for batch in batches:
             named: list[tuple[str, float]] = []
-            for _, _, raw, bounds in pieces(batch.column("text")):
+            for _, _, raw, bounds in pieces(batch.column("_text")):
                 named += [(UNKNOWN, 0.0) if f is None or known is None else known.predict(*f) for f in count_grams(raw, bounds)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array([n for n, _ in named], pa.string()), pa.array([s for _, s in named], pa.float64())], names=["doc_id", "held_out", "lang_pred", "score"])
+            added = [pa.array([n for n, _ in named], pa.string()), pa.array([s for _, s in named], pa.float64())]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in carry), *added], names=[*carry, "lang_pred", "score"])
+
+    source = documents.select(*carry, F.col("text").alias("_text"))
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema if f.name in carry)
+    return source.mapInArrow(rows, f"{schema}, lang_pred string, score double")
 
-    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"), "text")
-    return docs.mapInArrow(rows, "doc_id long, held_out boolean, lang_pred string, score double")
+
+def predict(documents: DataFrame, model: Model | None) -> DataFrame:
+    """doc_id, held_out, lang_pred, score for every row of ``documents`` (doc_id, text)."""
+    marked = documents.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"), "text")
+    return annotate(marked, model, ["doc_id", "held_out"])

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cascata.llm.common import BROADCAST_BYTES
+from cascata.session import materialize
 
 RATIO = 0.05
 MIN_PAGES = 5
@@ -25,23 +26,19 @@ def _lines(text: Column) -> Column:
 
 
 def _trimmed(line: Column) -> Column:
-    return F.trim(F.translate(line, "\t\r", "  "))
+    return F.btrim(line, F.lit(" \t\r"))
 
 
 def _key(line: Column) -> Column:
-    return F.unhex(F.md5(_trimmed(line)))
+    return F.unhex(F.md5(line))
 
 
 def boilerplate(pages: DataFrame, host: str, text: str, ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
     """(host, line_md5, pages, host_pages): lines on more than ``ratio`` of a host's pages, on ``min_pages`` at least."""
-    filled = F.filter(_lines(F.col(text)), lambda x: _trimmed(x) != "")
-    distinct = F.array_distinct(F.transform(filled, _key))
-    # The empty key stands for the page itself, so that one aggregation gives both counts.
-    page = F.array(F.lit("").cast("binary"))
-    marked = F.when(distinct.isNull(), page).otherwise(F.concat(page, distinct))
-    counted = pages.select(F.col(host).alias("_host"), F.explode(marked).alias("_line")).groupBy("_host", "_line").agg(F.count("*").alias("_n"))
-    totals = counted.where(F.length("_line") == 0).select(F.col("_host").alias("_h"), F.col("_n").alias("_total"))
-    often = counted.where((F.length("_line") > 0) & (F.col("_n") >= min_pages))
+    filled = F.filter(F.transform(_lines(F.col(text)), _trimmed), lambda x: x != "")
+    rows = pages.select(F.col(host).alias("_host"), F.explode(F.array_distinct(F.transform(filled, _key))).alias("_line"))
+    often = rows.groupBy("_host", "_line").agg(F.count("*").alias("_n")).where(F.col("_n") >= min_pages)
+    totals = pages.groupBy(F.col(host).alias("_h")).agg(F.count("*").alias("_total"))
     return (
         often.join(totals, F.col("_host").eqNullSafe(F.col("_h")))
         .where(F.col("_n") > F.lit(ratio) * F.col("_total"))
@@ -53,11 +50,12 @@ def drop_boilerplate(pages: DataFrame, host: str = "source", text: str = "text",
     """``pages`` with boilerplate lines cut from ``text``; adds ``lines_dropped``."""
     found = boilerplate(pages, host, text, ratio, min_pages)
     per_host = found.groupBy(F.col("host").alias("_bp_host")).agg(F.collect_set("line_md5").alias("_bp"), F.sum(F.lit(64)).alias("_bytes"))
+    per_host = materialize(per_host, "lines-boilerplate")
     size = per_host.agg(F.sum("_bytes")).first()[0] or 0  # measured before anything is broadcast
     side = F.broadcast(per_host.drop("_bytes")) if size <= BROADCAST_BYTES else per_host.drop("_bytes")
     joined = pages.join(side, F.col(host).eqNullSafe(F.col("_bp_host")), "left")
     lines = _lines(F.col(text))
-    kept = F.filter(lines, lambda x: ~F.array_contains(F.col("_bp"), _key(x)))
+    kept = F.filter(lines, lambda x: ~F.array_contains(F.col("_bp"), _key(_trimmed(x))))
     untouched = F.col("_bp").isNull() | F.col(text).isNull()
     return (
         joined.withColumn("_kept", F.when(~untouched, kept))

@@ -112,7 +112,7 @@ FROM canon LEFT JOIN known ON known.d = sha256(c) LEFT JOIN named ON named.doc_i
 
 OP4_SQL = f"""
 WITH lines AS (
-  SELECT doc_id, source, i, l, trim(translate(l, chr(9) || chr(13), '  '), ' ') AS k FROM (
+  SELECT doc_id, source, i, l, trim(l, ' ' || chr(9) || chr(13)) AS k FROM (
     SELECT doc_id, source, unnest(string_split(text, chr(10))) AS l, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents)),
 totals AS (SELECT source, count(*) AS total FROM documents GROUP BY source),
 bad AS (

@@ -1,13 +1,22 @@
 """Driver-facing queries of the engine."""
 
+from __future__ import annotations
+
+from cascata.queries import evaluation, graphs, hawkes, ingest, learning, rules, streams, windows
+from cascata.queries.registry import ORACLES, QUERIES
+
 
 def flagship(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/events.parquet")
+    """Alarms to parents to cascades to one diagnostic row per cascade."""
+    return QUERIES["alarm_normalize"](spark, sf_dir)
 
 
 def queries():
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql():
-    return {}
+    return dict(ORACLES)
+
+
+_ = (evaluation, graphs, hawkes, ingest, learning, rules, streams, windows)

@@ -8,7 +8,7 @@ from cascata.queries.registry import ORACLES, QUERIES
 
 def flagship(spark, sf_dir):
     """Alarms to parents to cascades to one diagnostic row per cascade."""
-    return QUERIES["alarm_normalize"](spark, sf_dir)
+    return QUERIES["group_diagnostics"](spark, sf_dir)
 
 
 def queries():

@@ -1 +1 @@
-
+"""Declarative fault rules and their compilation to DataFrame joins."""

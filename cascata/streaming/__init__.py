@@ -1 +1 @@
-
+"""Stateful stream operators and their batch twins."""

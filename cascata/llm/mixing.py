@@ -91,6 +91,7 @@ def fit_counts(sizes: np.ndarray, counts: np.ndarray, budget: int, reserve: int
 
 
 def _quota(pdf: pd.DataFrame) -> pd.DataFrame:
+    pdf = pdf.sort_values("size")  # rows come in any order, and reruns must agree
     size, target = int(pdf.source_size.iloc[0]), float(pdf.target.iloc[0])
     wanted = int(round(target))
     passes = int(wanted >= size)

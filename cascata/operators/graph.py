@@ -97,6 +97,9 @@ def root_of(parents: DataFrame, node: str = "node", parent: str = "parent", max_
         moved = new.join(state.select("n", F.col("up").alias("_was")), "n").where("up <> _was").limit(1).count()
         state = new
         if not moved:
+            looped = state.where("n = up").join(parents.where(F.col(parent).isNotNull()).select(F.col(node).alias("n")), "n", "left_semi").limit(1).count()
+            if looped:
+                break
             return state.select(F.col("n").alias("node"), F.col("up").alias("root"), "depth")
     comp = connected_components(parents.where(F.col(parent).isNotNull()), node, parent)
     return parents.select(F.col(node).alias("node")).join(comp, "node", "left").select("node", F.coalesce("component", "node").alias("root"), F.lit(-1).alias("depth"))

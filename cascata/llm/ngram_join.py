@@ -6,7 +6,7 @@ A document's set is its distinct shingles of five lower-cased words, held as 64-
 1. Equal sets (compared by size and 128 bits of digest) become one class; only class representatives go on.
 2. A first pass links most near copies cheaply: representatives that share a pair of bin minima are checked against the
    smallest and the largest one that shares it, and verified links give first components.
-3. The exact pass. All shingles have one total order, in which those known to be frequent come last. Linked sets share one
+3. The exact pass. All shingles have one total order, in which those known to be frequent come last, by frequency. Linked sets share one
    of their first |A| - ceil(0.75 |A|) + 1 shingles in that order, so every missing link lies within a block of
    representatives that have such a shingle in common. Blocks within one component need no more work, and of blocks with
    equal members one is kept. Each remaining block gets signature trees: leaves hold a token bitmap and the size of one
@@ -38,7 +38,7 @@ from cascata.session import materialize
 SHINGLE = 5
 MIN_SHARE = 0.75
 BANDS, BINS_PER_BAND = 8, 2
-HOT_SHARE = 0.002
+HOT_SHARE = 0.0002
 CHUNK = 2048
 FAN_OUT = 8
 _SALTS = np.array([0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64)
@@ -94,7 +94,7 @@ _FEATURES = "doc_id long, n long, d1 long, d2 long, bands array<long>, token lon
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A row per document, and at the end of the task a row for each frequent shingle."""
     schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()), ("bands", pa.list_(pa.int64())), ("token", pa.int64()), ("freq", pa.int64())])
-    frequent = Frequent()
+    frequent = Frequent(gather=1_500_000, keep=100_000)
     for batch in batches:
         ids = batch.column("doc_id")
         for a, b, raw, bounds in pieces(batch.column("text")):
@@ -149,25 +149,31 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return with_b.select("a", "b", "text_a", "text_b").mapInArrow(_verify, "a long, b long")
 
 
+def _late_last(mine: np.ndarray, hot: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """A set in the common order: unlisted shingles by hash, then listed ones by their count and hash."""
+    at = np.minimum(np.searchsorted(hot, mine), len(hot) - 1) if len(hot) else np.zeros(len(mine), np.int64)
+    late = hot[at] == mine if len(hot) else np.zeros(len(mine), bool)
+    if not late.any():
+        return mine
+    tail = mine[late]
+    return np.concatenate((mine[~late], tail[np.lexsort((tail, weight[at[late]]))]))
+
+
 def _prefix_rows(hot_values):
     """Per document: one row with its signature (token null), and a row per prefix shingle."""
     schema = pa.schema([("token", pa.int64()), ("doc_id", pa.int64()), ("comp", pa.int64()), ("n", pa.int64()), ("sig", pa.binary())])
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hot = hot_values.value
+        hot, weight = hot_values.value
         for batch in batches:
             ids, comps = np.asarray(batch.column("doc_id")), np.asarray(batch.column("comp"))
             for a, b, raw, bounds in pieces(batch.column("text")):
                 sets, first = shingle_sets(raw, bounds)
-                late = is_in(sets, hot)
                 took, sigs, sizes = [], [], np.zeros(b - a, np.int64)
                 for i, (x, y) in enumerate(zip(first[:-1].tolist(), first[1:].tolist())):
                     n = y - x
                     length = n - (3 * n + 3) // 4 + 1 if n else 0
-                    mine = sets[x:y]
-                    if n and late[x:y].any():
-                        mine = np.concatenate((mine[~late[x:y]], mine[late[x:y]]))
-                    took.append(mine[:length])
+                    took.append(_late_last(sets[x:y], hot, weight)[:length])
                     sizes[i] = length
                     sigs.append(signature(sets[x:y]))
                 tokens = np.concatenate(took) if took else np.zeros(0, np.uint64)
@@ -189,62 +195,83 @@ def signature(tokens: np.ndarray) -> bytes:
     return np.packbits(bits, bitorder="little").tobytes()
 
 
-class Node:
-    """A tree node: OR of bitmaps, size range, most bit collisions of a member, its component if all share one."""
+class Level:
+    """One level of a signature tree, as arrays: OR of bitmaps, size range, most bit collisions, common component or -1."""
+
+    __slots__ = ("bits", "least", "most", "excess", "comp")
 
-    __slots__ = ("bits", "least", "most", "excess", "comp", "kids", "doc")
+    def __init__(self, bits, least, most, excess, comp):
+        self.bits, self.least, self.most, self.excess, self.comp = bits, least, most, excess, comp
 
-    def __init__(self, bits, least, most, excess, comp, kids=(), doc=None):
-        self.bits, self.least, self.most, self.excess, self.comp, self.kids, self.doc = bits, least, most, excess, comp, kids, doc
+    def above(self) -> Level:
+        at = np.arange(0, len(self.least), FAN_OUT)
+        low, high = np.minimum.reduceat(self.comp, at), np.maximum.reduceat(self.comp, at)
+        return Level(np.bitwise_or.reduceat(self.bits, at, axis=0), np.minimum.reduceat(self.least, at), np.maximum.reduceat(self.most, at), np.maximum.reduceat(self.excess, at), np.where(low == high, low, -1))
 
 
-def _fold(bits: int, width: int, to: int) -> int:
-    while width > to:
-        width //= 2
-        bits = (bits & ((1 << width) - 1)) | (bits >> width)
-    return bits
+class Tree:
+    """A signature tree over documents (size, doc_id, comp, signature); bitmaps are folded to ``width`` bits."""
 
+    def __init__(self, docs: list[tuple[int, int, int, bytes]], width: int):
+        docs = sorted(docs, key=lambda d: (d[0], d[2], d[1]))
+        self.docs = np.array([d[1] for d in docs], np.int64)
+        sizes = np.array([d[0] for d in docs], np.int64)
+        bits = np.zeros((len(docs), width // 64), np.uint64)
+        for i, d in enumerate(docs):
+            bits[i] = np.bitwise_or.reduce(np.frombuffer(d[3], np.uint64).reshape(-1, width // 64), axis=0)
+        names = {c: i for i, c in enumerate(sorted({d[2] for d in docs}))}
+        self.names = np.array(list(names), np.int64)
+        comp = np.array([names[d[2]] for d in docs], np.int64)
+        self.levels = [Level(bits, sizes, sizes, sizes - np.bitwise_count(bits).sum(axis=1).astype(np.int64), comp)]
+        while len(self.levels[-1].least) > 1:
+            self.levels.append(self.levels[-1].above())
 
-def build_tree(docs: list[tuple[int, int, int, bytes]], width: int) -> Node | None:
-    """docs: (size, doc_id, comp, signature). Bitmaps are folded to ``width`` bits."""
-    level = []
-    for n, doc, comp, sig in sorted(docs, key=lambda d: (d[0], d[2], d[1])):
-        bits = _fold(int.from_bytes(sig, "little"), 8 * len(sig), width)
-        level.append(Node(bits, n, n, n - bits.bit_count(), comp, doc=doc))
-    while len(level) > 1:
-        up = []
-        for i in range(0, len(level), FAN_OUT):
-            kids = level[i : i + FAN_OUT]
-            bits = 0
-            for k in kids:
-                bits |= k.bits
-            comp = kids[0].comp if all(k.comp == kids[0].comp and k.comp is not None for k in kids) else None
-            up.append(Node(bits, min(k.least for k in kids), max(k.most for k in kids), max(k.excess for k in kids), comp, kids))
-        level = up
-    return level[0] if level else None
+    def component(self, level: int, nodes: np.ndarray) -> np.ndarray:
+        """The component id of uniform nodes, and a value that no component has for mixed ones."""
+        comp = self.levels[level].comp[nodes]
+        return np.where(comp >= 0, self.names[np.maximum(comp, 0)], -(1 << 62))
 
 
-def dual_traversal(x: Node | None, y: Node | None) -> Iterator[tuple[int, int]]:
-    """Pairs (doc of x, doc of y) of different components that no bound rules out. With x is y, each pair comes once."""
-    stack = [(x, y)] if x and y else []
+def dual_traversal(x: Tree, y: Tree) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Arrays of pairs (doc of x, doc of y) in different components that no bound rules out; x may be y.
+
+    Node pairs go down both trees together, depth first and a bounded number at a time; each step evaluates its pairs at once.
+    """
+    words = x.levels[0].bits.shape[1]
+    at_once = max(1, (1 << 21) // (FAN_OUT * FAN_OUT * words))
+    top = max(len(x.levels), len(y.levels)) - 1
+    zero = np.zeros(1, np.int64)
+    stack = [(top, zero, zero)]
     while stack:
-        p, q = stack.pop()
-        if p.comp is not None and p.comp == q.comp:
-            continue
-        if 4 * p.most < 3 * q.least or 4 * q.most < 3 * p.least:
+        depth, i, j = stack.pop()
+        a, b = min(depth, len(x.levels) - 1), min(depth, len(y.levels) - 1)
+        p, q = x.levels[a], y.levels[b]
+        ci, cj = x.component(a, i), y.component(b, j)
+        keep = ((ci != cj) | (ci == -(1 << 62))) & (4 * p.most[i] >= 3 * q.least[j]) & (4 * q.most[j] >= 3 * p.least[i])
+        i, j = i[keep], j[keep]
+        if not len(i):
             continue
-        possible = (p.bits & q.bits).bit_count() + min(p.excess, q.excess)
-        if 7 * min(possible, p.most, q.most) < 3 * (p.least + q.least):
+        possible = np.bitwise_count(p.bits[i] & q.bits[j]).sum(axis=1).astype(np.int64) + np.minimum(p.excess[i], q.excess[j])
+        possible = np.minimum(possible, np.minimum(p.most[i], q.most[j]))
+        keep = 7 * possible >= 3 * (p.least[i] + q.least[j])
+        i, j = i[keep], j[keep]
+        if not depth:
+            if x is y:
+                i, j = i[i < j], j[i < j]
+            yield x.docs[i], y.docs[j]
             continue
-        if p is q:
-            kids = p.kids
-            stack.extend((kids[i], kids[j]) for i in range(len(kids)) for j in range(i, len(kids)))
-        elif p.kids and (not q.kids or p.most - p.least >= q.most - q.least):
-            stack.extend((k, q) for k in p.kids)
-        elif q.kids:
-            stack.extend((p, k) for k in q.kids)
-        else:
-            yield p.doc, q.doc
+        left = [(k * FAN_OUT, min((k + 1) * FAN_OUT, len(x.levels[depth - 1].least))) if depth <= len(x.levels) - 1 else (k, k + 1) for k in i.tolist()]
+        right = [(k * FAN_OUT, min((k + 1) * FAN_OUT, len(y.levels[depth - 1].least))) if depth <= len(y.levels) - 1 else (k, k + 1) for k in j.tolist()]
+        for at in range(0, len(i), at_once):
+            pieces_i, pieces_j = [], []
+            for (a0, a1), (b0, b1) in zip(left[at : at + at_once], right[at : at + at_once]):
+                m, n = np.arange(a0, a1), np.arange(b0, b1)
+                u, v = np.repeat(m, len(n)), np.tile(n, len(m))
+                if x is y:
+                    u, v = u[u <= v], v[u <= v]
+                pieces_i.append(u)
+                pieces_j.append(v)
+            stack.append((depth - 1, np.concatenate(pieces_i), np.concatenate(pieces_j)))
 
 
 def _size_class(n: int) -> int:
@@ -268,9 +295,10 @@ def block_pairs(docs: list[tuple[int, int, int, bytes, int]], left: int, right:
             if d not in two:
                 continue
             width = min(8 * len(s[3]) for s in (*one[c], *two[d]))
-            x = build_tree(one[c], width)
-            y = x if one is two and c == d else build_tree(two[d], width)
-            found.update((min(p), max(p)) for p in dual_traversal(x, y))
+            x = Tree(one[c], width)
+            y = x if one is two and c == d else Tree(two[d], width)
+            for a, b in dual_traversal(x, y):
+                found.update(zip(np.minimum(a, b).tolist(), np.maximum(a, b).tolist()))
     return found
 
 
@@ -280,7 +308,7 @@ def _tree_task(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(pairs, columns=["a", "b"], dtype="int64")
 
 
-def candidates(texts: DataFrame, comps: DataFrame, hot: np.ndarray) -> DataFrame:
+def candidates(texts: DataFrame, comps: DataFrame, hot: tuple[np.ndarray, np.ndarray]) -> DataFrame:
     """Pairs of representatives in different components that may link. comps: node, comp for every representative."""
     spark = texts.sparkSession
     rows = attach(texts, comps, "doc_id", "node", "inner").select("doc_id", "comp", "text").mapInArrow(_prefix_rows(spark.sparkContext.broadcast(hot)), "token long, doc_id long, comp long, n long, sig binary")
@@ -311,8 +339,9 @@ def link_documents(documents: DataFrame) -> DataFrame:
     features = materialize(docs.mapInArrow(_features, _FEATURES), "ngram-features")
     rows = features.where("n is not null").select("doc_id", "n", "d1", "d2", "bands")
     n_docs = rows.count()
-    hot_rows = features.where("token is not null").groupBy("token").agg(F.sum("freq").alias("freq")).where(F.col("freq") >= max(4.0, HOT_SHARE * n_docs)).select("token")
-    hot = np.sort(np.array([r[0] for r in hot_rows.collect()], np.int64).view(np.uint64))  # at most (mean set size / HOT_SHARE) values
+    hot_rows = features.where("token is not null").groupBy("token").agg(F.sum("freq").alias("freq")).where(F.col("freq") >= max(4.0, HOT_SHARE * n_docs)).select("token", "freq").toArrow()
+    order = np.argsort(np.asarray(hot_rows["token"]).view(np.uint64))  # at most (mean set size / HOT_SHARE) values
+    hot = np.asarray(hot_rows["token"]).view(np.uint64)[order], np.asarray(hot_rows["freq"])[order]
 
     filled = rows.where("n > 0")
     classes = materialize(filled.groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands")).where("rep is not null"), "ngram-classes")

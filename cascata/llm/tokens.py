@@ -109,26 +109,38 @@ def pieces(texts: pa.Array, limit: int = PIECE_BYTES) -> Iterator[tuple[int, int
 
 
 class Frequent:
-    """Lossy counts of hashes: what is rare in every piece is left out, what is frequent overall is never missed by much."""
+    """Lossy counts of hashes: what is rare in every run of ``gather`` hashes is left out, what is frequent is never missed by much."""
 
-    def __init__(self, least: int = 2, keep: int = 50_000):
-        self.least, self.keep, self.counts = least, keep, {}
+    def __init__(self, least: int = 2, keep: int = 50_000, gather: int = 0):
+        self.least, self.keep, self.gather = least, keep, gather
+        self.values, self.counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.waiting: list[np.ndarray] = []
+        self.n_waiting = 0
 
     def add(self, hashes: np.ndarray) -> None:
-        values, n = np.unique(hashes, return_counts=True)
+        self.waiting.append(hashes)
+        self.n_waiting += len(hashes)
+        if self.n_waiting > self.gather:
+            self._count()
+
+    def _count(self) -> None:
+        values, n = np.unique(np.concatenate(self.waiting or [self.values[:0]]), return_counts=True)
         often = n >= self.least
-        for v, k in zip(values[often].tolist(), n[often].tolist()):
-            self.counts[v] = self.counts.get(v, 0) + k
-        if len(self.counts) > 4 * self.keep:
+        merged, place = np.unique(np.concatenate((self.values, values[often])), return_inverse=True)
+        self.counts = np.bincount(place, np.concatenate((self.counts, n[often])), len(merged)).astype(np.int64)
+        self.values, self.waiting, self.n_waiting = merged, [], 0
+        if len(merged) > 4 * self.keep:
             self._trim()
 
     def _trim(self) -> None:
-        if len(self.counts) > self.keep:
-            self.counts = dict(sorted(self.counts.items(), key=lambda x: -x[1])[: self.keep])
+        if len(self.values) > self.keep:
+            top = np.sort(np.argpartition(-self.counts, self.keep - 1)[: self.keep])
+            self.values, self.counts = self.values[top], self.counts[top]
 
     def items(self) -> tuple[np.ndarray, np.ndarray]:
+        self._count()
         self._trim()
-        return np.array(list(self.counts), np.uint64), np.array(list(self.counts.values()), np.int64)
+        return self.values, self.counts
 
 
 def is_in(values: np.ndarray, ordered: np.ndarray) -> np.ndarray:

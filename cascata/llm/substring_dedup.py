@@ -36,7 +36,7 @@ from cascata.session import materialize
 WINDOW = 13
 GRAIN = 4
 HOT_SHARE = 1 / 2000
-BLOCK_BYTES = 32 << 20
+BLOCK_BYTES = 8 << 20
 _PIECE = 4 << 20
 
 
@@ -172,10 +172,13 @@ def later_windows(ids: np.ndarray, hashes: np.ndarray, words_of) -> np.ndarray:
 
 def _counted(table: pa.Table) -> pa.Table:
     """All buckets of a partition: the spans that its super-k-mers lose."""
-    blocks = [_unpack(b.as_py()) for b in table.column("block")]
-    ids, tags, starts, sizes = (np.concatenate([b[k] for b in blocks]) for k in range(4))
-    text = b"".join(b[4] for b in blocks)
-    del blocks
+    parts: list[list] = [[], [], [], [], []]
+    for packed in table.column("block"):
+        for kept, new in zip(parts, _unpack(packed.as_py())):
+            kept.append(new)
+    ids, tags, starts, sizes = (np.concatenate(x) for x in parts[:4])
+    text = b"".join(parts[4])
+    del parts
     words = Words(np.frombuffer(text, np.uint8), np.concatenate(([0], np.cumsum(sizes, dtype=np.int64))))
     n = len(words) - WINDOW + 1
     owner = words.owners()

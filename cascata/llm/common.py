@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Words are what lies between these blanks (space, tab, line feed, vertical tab, form feed, carriage return).
@@ -15,6 +15,11 @@ BROADCAST_BYTES = 32 << 20
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+def bounded_batches(spark: SparkSession, size: int = 16 << 20) -> None:
+    """Texts reach Python in batches of at most ``size`` bytes: rows may be long, and executors hold several batches."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", f"{size}b")
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z only. Pure ASCII takes the fast built-in; other letters must stay as they are."""
     return F.when(F.length(text) == F.octet_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))

@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cascata.llm.common import bounded_batches
 from cascata.llm.tokens import pieces
 from cascata.session import materialize
 
@@ -175,6 +176,7 @@ def fit_temperature(scores: np.ndarray, y: np.ndarray) -> float:
 
 def fit(documents: DataFrame, per_label: int = SAMPLE_PER_LABEL, most: int = SAMPLE_ROWS) -> Model | None:
     """Train on the labelled training rows of ``documents`` (doc_id, text, lang); None if there are none."""
+    bounded_batches(documents.sparkSession)
     usable = documents.select("doc_id", "text", "lang").where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     sizes = dict(usable.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(most).collect())
     if not sizes:

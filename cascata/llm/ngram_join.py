@@ -25,12 +25,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cascata.llm.common import attach
+from cascata.llm.common import attach, bounded_batches
 from cascata.llm.tokens import Frequent, Words, is_in, mix64, pieces, window_hashes
 from cascata.operators.components import connected_components
 from cascata.session import materialize
@@ -40,6 +39,7 @@ MIN_SHARE = 0.75
 BANDS, BINS_PER_BAND = 8, 2
 HOT_SHARE = 0.0002
 CHUNK = 2048
+BUNDLE = 50_000
 FAN_OUT = 8
 _SALTS = np.array([0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64)
 
@@ -279,8 +279,34 @@ def _size_class(n: int) -> int:
     return int(np.floor(np.log(n) / np.log(4 / 3) + 1e-9))
 
 
+def _leaf_pairs(docs: list[tuple[int, int, int, bytes, int]], left: int, right: int) -> set[tuple[int, int]]:
+    """The same bound for a block that fits into one leaf."""
+    found = set()
+    bits = [int.from_bytes(d[3], "little") for d in docs]
+    for i, (n, a, comp, sig, chunk) in enumerate(docs):
+        for j in range(i):
+            m, b, other, sig_b, chunk_b = docs[j]
+            if comp == other or 4 * min(n, m) < 3 * max(n, m) or (left != right and chunk == chunk_b):
+                continue
+            width = 8 * min(len(sig), len(sig_b))
+            x, y = _folded(bits[i], 8 * len(sig), width), _folded(bits[j], 8 * len(sig_b), width)
+            possible = (x & y).bit_count() + min(n - x.bit_count(), m - y.bit_count())
+            if 7 * min(possible, n, m) >= 3 * (n + m):
+                found.add((min(a, b), max(a, b)))
+    return found
+
+
+def _folded(bits: int, width: int, to: int) -> int:
+    while width > to:
+        width //= 2
+        bits = (bits & ((1 << width) - 1)) | (bits >> width)
+    return bits
+
+
 def block_pairs(docs: list[tuple[int, int, int, bytes, int]], left: int, right: int) -> set[tuple[int, int]]:
     """Candidate pairs of a block (or of a pair of its chunks); docs: (size, doc_id, comp, signature, chunk)."""
+    if len(docs) <= FAN_OUT:
+        return _leaf_pairs(docs, left, right)
     found: set[tuple[int, int]] = set()
     sides: list[dict[int, list]] = []
     for chunk in dict.fromkeys((left, right)):
@@ -302,10 +328,21 @@ def block_pairs(docs: list[tuple[int, int, int, bytes, int]], left: int, right:
     return found
 
 
-def _tree_task(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-    docs = [(int(n), int(d), int(c), bytes(s), int(k)) for n, d, c, s, k in zip(pdf.n, pdf.doc_id, pdf.comp, pdf.sig, pdf.chunk)]
-    pairs = sorted(block_pairs(docs, int(key[1]), int(key[2])))
-    return pd.DataFrame(pairs, columns=["a", "b"], dtype="int64")
+def _tree_task(table: pa.Table) -> pa.Table:
+    """Many blocks: rows (token, left, right, n, doc_id, comp, sig, chunk). A call per block would cost more than the block."""
+    table = table.sort_by([(c, "ascending") for c in ("token", "left", "right")])
+    key = [np.asarray(table[c]) for c in ("token", "left", "right")]
+    new = np.ones(len(table), bool)
+    if len(table):
+        new[1:] = np.any([k[1:] != k[:-1] for k in key], axis=0)
+    cut = [*np.flatnonzero(new).tolist(), len(table)]
+    n, doc, comp, chunk = (table[c].to_pylist() for c in ("n", "doc_id", "comp", "chunk"))
+    sig = table["sig"].to_pylist()
+    found: set[tuple[int, int]] = set()
+    for a, b in zip(cut, cut[1:]):
+        found |= block_pairs(list(zip(n[a:b], doc[a:b], comp[a:b], sig[a:b], chunk[a:b])), int(key[1][a]), int(key[2][a]))
+    pairs = sorted(found)
+    return pa.table({"a": pa.array([p[0] for p in pairs], pa.int64()), "b": pa.array([p[1] for p in pairs], pa.int64())})
 
 
 def candidates(texts: DataFrame, comps: DataFrame, hot: tuple[np.ndarray, np.ndarray]) -> DataFrame:
@@ -318,23 +355,28 @@ def candidates(texts: DataFrame, comps: DataFrame, hot: tuple[np.ndarray, np.nda
         .groupBy("token")
         .agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("n_docs"), F.bit_xor(member).alias("x"), F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
         .where("low < high")
-        .groupBy("n_docs", "x", "first", "last").agg(F.min("token").alias("block"))
+        .groupBy("n_docs", "x", "first", "last").agg(F.min("token").alias("block"), F.min("low").alias("low"))
     )
-    blocks = materialize(blocks.select("block", F.ceil(F.col("n_docs") / CHUNK).cast("int").alias("chunks")), "ngram-blocks")
-    wanted = blocks.union(spark.range(1).select(F.lit(None).cast("long"), F.lit(1)))
+    blocks = materialize(blocks.select("block", "low", "n_docs", F.ceil(F.col("n_docs") / CHUNK).cast("int").alias("chunks")), "ngram-blocks")
+    # Blocks of one component go to one bundle, where pairs that several of them share come once; large sets are spread.
+    spread = blocks.groupBy(F.col("low").alias("_low")).agg(F.ceil(F.sum("n_docs") / BUNDLE).alias("parts"))
+    wanted = materialize(blocks.join(spread, F.col("low") == F.col("_low")).select("block", "low", "chunks", "parts"), "ngram-blocks")
+    wanted = wanted.union(spark.range(1).select(F.lit(None).cast("long"), F.lit(None).cast("long"), F.lit(1), F.lit(1).cast("long")))
     found = materialize(attach(rows, wanted, "token", "block", "inner", null_safe=True), "ngram-rows")
     sigs = found.where("token is null").select("doc_id", "sig")
-    inside = found.where("token is not null").select("token", "doc_id", "comp", "n", "chunks")
+    inside = found.where("token is not null").select("token", "doc_id", "comp", "n", "chunks", "low", "parts")
     inside = inside.withColumn("chunk", F.pmod(member, F.col("chunks").cast("long")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))
     dealt = inside.join(sigs, "doc_id").withColumn("other", other)
-    dealt = dealt.select("token", F.least("chunk", "other").alias("left"), F.greatest("chunk", "other").alias("right"), "n", "doc_id", "comp", "sig", "chunk")
-    return dealt.groupBy("token", "left", "right").applyInPandas(_tree_task, "a long, b long").distinct()
+    dealt = dealt.select("token", F.least("chunk", "other").alias("left"), F.greatest("chunk", "other").alias("right"), "n", "doc_id", "comp", "sig", "chunk", "low", "parts")
+    bundles = max(1, -(-found.count() // BUNDLE))
+    dealt = dealt.withColumn("bundle", F.pmod(F.xxhash64("low", F.pmod(F.xxhash64("token", "left", "right"), F.col("parts"))), F.lit(bundles)))
+    return dealt.groupBy("bundle").applyInArrow(_tree_task, "a long, b long").distinct()
 
 
 def link_documents(documents: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id for every row of ``documents`` (doc_id, text)."""
-    spark = documents.sparkSession
+    bounded_batches(documents.sparkSession)
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
     features = materialize(docs.mapInArrow(_features, _FEATURES), "ngram-features")
     rows = features.where("n is not null").select("doc_id", "n", "d1", "d2", "bands")

@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -27,8 +28,17 @@ def local_session(cores: int = 8, name: str = "cascata", **extra: str) -> SparkS
     return spark
 
 
+def visible_to_workers(spark: SparkSession) -> None:
+    """Python workers find this package where the driver found it, also when only the driver's sys.path names that folder."""
+    root = str(Path(__file__).resolve().parents[1])
+    held = spark.sparkContext.environment.get("PYTHONPATH", "")
+    if root not in held.split(os.pathsep):
+        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(p for p in (root, held) if p)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the driver's tables, read only through Spark so that any store works."""
+    visible_to_workers(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -49,6 +59,7 @@ def scratch(spark: SparkSession) -> str:
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back: cuts lineage and survives lost executors."""
     spark = df.sparkSession
+    visible_to_workers(spark)
     path = f"{scratch(spark)}/cascata/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

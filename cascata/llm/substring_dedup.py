@@ -9,8 +9,8 @@ that equal windows always meet. Buckets are spread over partitions; a task ships
 and piece of text. There, windows are sorted by a 64-bit hash, and equal hashes are compared word by word, which makes
 counting exact.
 
-Minimisers that hold more than a fixed share of all super-k-mers (found by lossy counting over all texts) would overload
-their bucket. Their windows travel singly and are counted by a plain aggregation on the window's words, which combines
+Minimisers with ``HOT_ROWS`` super-k-mers or more (found by lossy counting over all texts) would overload their bucket, which
+one task holds. Their windows travel singly and are counted by a plain aggregation on the window's words, which combines
 before the shuffle, and whose join splits skewed keys. No window is dropped or sampled on either way.
 
 Null, empty and short texts have no windows; null text has no words. A null doc_id has no order: such documents neither
@@ -29,14 +29,14 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cascata.llm.common import attach
+from cascata.llm.common import bounded_batches
 from cascata.llm.tokens import Frequent, Words, is_in, pieces, window_hashes
 from cascata.session import materialize
 
 WINDOW = 13
 GRAIN = 4
-HOT_SHARE = 1 / 2000
-BLOCK_BYTES = 8 << 20
+HOT_ROWS, HOT_SHARE = 20_000, 1e-6
+BLOCK_BYTES = 6 << 20
 _PIECE = 4 << 20
 
 
@@ -69,7 +69,7 @@ def text_tag(raw: np.ndarray, bounds: np.ndarray) -> np.ndarray:
 def _survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Frequent minimisers (key, n), and under a null key the number of super-k-mers and of bytes they take."""
     schema = pa.schema([("key", pa.int64()), ("n", pa.int64()), ("bytes", pa.int64())])
-    frequent, total, size = Frequent(least=4), 0, 0
+    frequent, total, size = Frequent(least=3, keep=200_000, gather=2_000_000), 0, 0
     for batch in batches:
         for _, _, raw, bounds in pieces(batch.column("text"), _PIECE):
             words = Words(raw, bounds)
@@ -220,11 +220,12 @@ def _hot_windows(hot_keys):
 def repeated_spans(documents: DataFrame) -> DataFrame:
     """(doc_id, tag, start, size): runs of words that repeated windows cover, possibly overlapping."""
     spark = documents.sparkSession
+    bounded_batches(spark)
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     seen = materialize(docs.select("text").mapInArrow(_survey, "key long, n long, bytes long"), "substr-survey")
     total, size = seen.where("key is null").agg(F.sum("n"), F.sum("bytes")).first()
-    often = seen.where("key is not null").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= max(1000.0, HOT_SHARE * (total or 0)))
-    hot = np.sort(np.array([r[0] for r in often.select("key").collect()], np.int64).view(np.uint64))  # at most 1 / HOT_SHARE
+    often = seen.where("key is not null").groupBy("key").agg(F.sum("n").alias("n")).where((F.col("n") >= HOT_ROWS) & (F.col("n") >= HOT_SHARE * (total or 0)))
+    hot = np.sort(np.asarray(often.select("key").toArrow()["key"]).view(np.uint64))  # at most 1 / HOT_SHARE keys
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-(size or 0) // BLOCK_BYTES))
     keys = spark.sparkContext.broadcast(hot)
     shipped = docs.mapInArrow(_shipped(keys, parts), "part int, block binary")
@@ -271,8 +272,7 @@ def _tagged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def remove_repeats(documents: DataFrame) -> DataFrame:
     """doc_id, n_words, n_removed and kept_text (kept words joined by blanks), a row per document."""
     spans = repeated_spans(documents).groupBy("doc_id", "tag").agg(F.collect_list(F.struct("start", "size")).alias("spans"))
-    spans = materialize(spans, "substr-spans").select(F.col("doc_id").alias("_id"), F.col("tag").alias("_t"), "spans")
+    spans = spans.select(F.col("doc_id").alias("_id"), F.col("tag").alias("_t"), "spans")
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_tagged, "doc_id long, text string, _tag long")
-    size = spans.agg(F.sum(F.size("spans") * 16 + 64)).first()[0] or 0
-    joined = attach(docs, spans, "doc_id", "_id", "left", also=F.col("_tag") == F.col("_t"), size=size)
+    joined = docs.join(spans, (F.col("doc_id") == F.col("_id")) & (F.col("_tag") == F.col("_t")), "left")
     return joined.select("doc_id", "text", "spans").mapInArrow(_kept, "doc_id long, n_words long, n_removed long, kept_text string")

@@ -55,8 +55,8 @@ class Words:
         self.starts = np.empty_like(self.ends)
         self.starts[:1] = 0
         self.starts[1:] = self.ends[:-1] + 1
-        kept_before = np.concatenate(([0], np.cumsum(keep, dtype=np.int64)))
-        self.first = np.searchsorted(self.starts, kept_before[bounds])
+        kept = np.add.reduceat(keep, bounds[:-1], dtype=np.int64) if len(bounds) > 1 else np.zeros(0, np.int64)
+        self.first = np.searchsorted(self.starts, np.concatenate(([0], np.cumsum(kept))))
 
     def __len__(self) -> int:
         return len(self.starts)

@@ -117,15 +117,15 @@ def report(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW) ->
 def decontaminate(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, remove: str = "documents") -> DataFrame:
     """``documents`` without what occurs in the benchmark.
 
-    remove="documents" drops every document with a hit. remove="spans" keeps all rows and cuts the hit words out of the
+    remove="documents" drops every row whose own text has a hit. remove="spans" keeps all rows and cuts the hit words out of the
     normalised text, which it adds as ``clean_text``. Rows are matched by doc_id and text, so repeated rows share a fate.
     """
     if remove not in ("documents", "spans"):
         raise ValueError(f"remove must be 'documents' or 'spans', not {remove!r}")
     found = hits(documents.select("doc_id", "text"), benchmark, window).where(F.size("spans") > 0)
     if remove == "documents":
-        bad = materialize(found.select(F.col("doc_id").alias("_bad_id")).distinct(), "decontam-bad")
-        return attach(documents, bad, "doc_id", "_bad_id", "left_anti", null_safe=True)
+        bad = materialize(found.select(F.col("doc_id").alias("_bad_id"), F.col("text_key").alias("_bad_key")).distinct(), "decontam-bad")
+        return attach(documents, bad, "doc_id", "_bad_id", "left_anti", null_safe=True, also=F.xxhash64("text") == F.col("_bad_key"))
     spans = found.groupBy(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).agg(F.first("spans").alias("_spans"))
     joined = documents.join(spans, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_key")), "left")
     words = normal_words(F.col("text"))

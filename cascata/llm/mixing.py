@@ -99,10 +99,14 @@ def _quota(pdf: pd.DataFrame) -> pd.DataFrame:
     return pdf[["source", "size", "source_size", "target"]].assign(passes=passes, take=take)
 
 
-def mix(documents: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, seed: int = SEED) -> DataFrame:
-    """doc_id, source, size, source_size, target, copies (0, 1 or 2) and taken (copies times size), a row per document."""
+def mix(documents: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, seed: int = SEED, text_key: bool = False) -> DataFrame:
+    """doc_id, source, size, source_size, target, copies (0, 1 or 2) and taken (copies times size), a row per document.
+
+    ``text_key`` adds a hash of the text under that name, which tells documents of one doc_id apart.
+    """
+    named = ["text_key"] if text_key else []
     hashed = F.xxhash64(F.lit(seed), F.col("doc_id").cast("string"))
-    docs = documents.select("doc_id", "source", word_count(F.col("text")).alias("size"), hashed.alias("_hash"))
+    docs = documents.select("doc_id", "source", word_count(F.col("text")).alias("size"), hashed.alias("_hash"), *[F.xxhash64("text").alias(c) for c in named])
     docs = materialize(docs.withColumn("_bin", F.pmod("_hash", F.lit(BINS)).cast("int")), "mix-docs")
     cells = materialize(docs.groupBy("source", "size", "_bin").agg(F.count("*").alias("n")), "mix-cells")
     lengths = cells.groupBy("source", "size").agg(F.sum("n").alias("n"))
@@ -120,8 +124,8 @@ def mix(documents: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
         F.col("source").alias("_b_source"), F.col("size").alias("_b_size"), F.col("_bin").alias("_b_bin"), "source_size", "target", "passes",
         F.greatest(F.lit(0), F.least(F.col("n"), F.col("take") - F.col("_before"))).alias("_take"),
     )
-    rank = F.row_number().over(Window.partitionBy("source", "size", "_bin").orderBy("_hash", "doc_id"))
+    rank = F.row_number().over(Window.partitionBy("source", "size", "_bin").orderBy("_hash", "doc_id", *named))
     same = F.col("source").eqNullSafe(F.col("_b_source")) & (F.col("size") == F.col("_b_size")) & (F.col("_bin") == F.col("_b_bin"))
     joined = docs.withColumn("_rank", rank).join(bins, same)
     copies = (F.col("passes") + (F.col("_rank") <= F.col("_take")).cast("int")).cast("int")
-    return joined.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).cast("long").alias("taken"))
+    return joined.select("doc_id", *named, "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).cast("long").alias("taken"))

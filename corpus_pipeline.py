@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cascata.llm import decontam, langid, line_dedup, mixing, ngram_join
-from cascata.llm.common import attach
+from cascata.llm.common import BLANK_WORD, attach
 from cascata.session import materialize, table
 
 #: Below this calibrated probability no language stands out, and the document is rejected.
@@ -28,12 +28,21 @@ def drop_boilerplate_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the smallest doc_id stays."""
-    linked = materialize(ngram_join.link_documents(docs), "pipeline-linked")
-    others = materialize(linked.where("doc_id <> component_id").select(F.col("doc_id").alias("_other")).distinct(), "pipeline-others")
-    kept = attach(docs, others, "doc_id", "_other", "left_anti")
-    repeated = linked.groupBy("doc_id").count().where("count > 1 and doc_id is not null").limit(1).count()
-    return kept.dropDuplicates(["doc_id"]) if repeated else kept
+    """Of each group of near copies the row with the smallest doc_id stays (null last), among equal ones that of the smallest key.
+
+    A row's key is a hash of doc_id and text: doc_ids may be null or repeat. Texts without words are nobody's copies.
+    """
+    once = docs.withColumn("_key", F.xxhash64("doc_id", "text"))
+    worded = once.where(F.regexp_like("text", F.lit(BLANK_WORD)))
+    repeated = materialize(worded.groupBy("_key").count().where("count > 1").select(F.col("_key").alias("_again")), "pipeline-repeated")
+    if not repeated.isEmpty():
+        one = materialize(attach(once, repeated, "_key", "_again", "left_semi").dropDuplicates(["_key"]), "pipeline-one")
+        once = attach(once, repeated, "_key", "_again", "left_anti").unionByName(one)
+    linked = materialize(ngram_join.link_documents(once.select(F.col("_key").alias("doc_id"), "text")).where("n_shingles > 0"), "pipeline-linked")
+    named = linked.select(F.col("doc_id").alias("_key"), "component_id").join(once.select("_key", "doc_id"), "_key")
+    first = named.groupBy("component_id").agg(F.min(F.struct(F.isnull("doc_id").alias("none"), "doc_id", "_key")).alias("first"))
+    others = linked.select(F.col("doc_id").alias("_other")).join(first.select(F.col("first._key").alias("_other")), "_other", "left_anti")
+    return attach(once, materialize(others, "pipeline-others"), "_key", "_other", "left_anti").select(*docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,8 +52,8 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mixed corpus: a row for each copy that the mix takes, with the document's columns and its source's target."""
-    mixed = materialize(mixing.mix(docs).where("copies > 0").select(F.col("doc_id").alias("_id"), "size", "source_size", "target", "copies"), "pipeline-mix")
-    joined = attach(docs, mixed, "doc_id", "_id", "inner", null_safe=True)
+    mixed = mixing.mix(docs, text_key=True).where("copies > 0").select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), "size", "source_size", "target", "copies")
+    joined = attach(docs, materialize(mixed, "pipeline-mix"), "doc_id", "_id", "inner", null_safe=True, also=F.xxhash64("text") == F.col("_key"))
     return joined.select(*docs.columns, "size", "source_size", "target", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy"))
 
 

@@ -81,3 +81,21 @@ def test_pipeline_of_nothing(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"file://{tmp_path}/documents.parquet")
     spark.createDataFrame([], "item_id long, text string").write.parquet(f"file://{tmp_path}/benchmark.parquet")
     assert corpus_pipeline.run(spark, f"file://{tmp_path}").count() == 0
+
+
+def test_rows_of_one_or_no_doc_id_stand_by_their_texts(spark, tmp_path):
+    a, b, c, d = (" ".join(f"{x}{k}" for k in range(20)) for x in "abcd")
+    leak = " ".join(f"leak{k}" for k in range(12))
+    rows = [(1, a), (2, a), (3, b), (3, c), (3, c), (None, a), (None, d), (None, d), (None, "e f g"), (None, ""), (None, ""), (4, leak + " x"), (None, leak + " y z w v u t s r q p"), (3, "so " + leak)]
+    docs = spark.createDataFrame([(i, t, "src", len(t)) for i, t in rows], "doc_id long, text string, source string, n_chars long").repartition(3)
+    key = lambda r: (str(r[0]), r[1])
+    kept = corpus_pipeline.keep_one_of_near_copies(spark, docs, "").select("doc_id", "text").collect()
+    left = [(1, a), (3, b), (3, c), (None, d), (None, "e f g"), (None, ""), (None, ""), (4, leak + " x"), (None, leak + " y z w v u t s r q p"), (3, "so " + leak)]
+    joined = {t for _, t in left if t.startswith(leak) or t.startswith("so ")}
+    assert sorted([tuple(r) for r in kept if r.text not in joined], key=key) == sorted([r for r in left if r[1] not in joined], key=key)
+    spark.createDataFrame([(1, leak)], "item_id long, text string").write.parquet(f"file://{tmp_path}/benchmark.parquet")
+    clean = corpus_pipeline.drop_contaminated(spark, docs, f"file://{tmp_path}").select("doc_id", "text").collect()
+    assert sorted(map(tuple, clean), key=key) == sorted([r for r in rows if r[1] not in joined], key=key)
+    two = spark.createDataFrame([(3, b, "src", 1), (3, c + " x", "src", 1), (None, a + " x y", "src", 1), (None, d + " x y z", "src", 1)], docs.schema)
+    mixed = corpus_pipeline.mix_sources(spark, two, "").collect()
+    assert all(r["size"] == len(r.text.split()) for r in mixed) and len({(r.text, r.copy) for r in mixed}) == len(mixed)

@@ -1,4 +1,9 @@
-"""The full texts of well-known licences, and short notices that stand for a licence."""
+"""The full texts of well-known licences, and short notices that stand for a licence.
+
+Longer texts are files of ``license_data``, named by licence.
+"""
+
+from importlib.resources import files
 
 _WARRANTY = """THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE
 WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT."""
@@ -90,17 +95,31 @@ THE USE OR OTHER DEALINGS IN THE SOFTWARE.
 For more information, please refer to <https://unlicense.org>""",
 }
 
+LICENSES |= {f.name.removesuffix(".txt"): f.read_text("utf-8") for f in sorted(files("cascata.llm").joinpath("license_data").iterdir(), key=lambda f: f.name)}
+
 #: Whole lines that name a licence.
 NOTICES: dict[str, list[str]] = {
-    "Apache-2.0": ["Licensed under the Apache License, Version 2.0.", "SPDX-License-Identifier: Apache-2.0"],
-    "GPL-3.0-only": ["This work is licensed under the GNU General Public License, version 3.", "SPDX-License-Identifier: GPL-3.0-only"],
-    "GPL-2.0-only": ["This work is licensed under the GNU General Public License, version 2.", "SPDX-License-Identifier: GPL-2.0-only"],
+    "Apache-2.0": ["Licensed under the Apache License, Version 2.0.", "This project is licensed under the Apache License, Version 2.0.", "Released under the Apache License, Version 2.0.", "SPDX-License-Identifier: Apache-2.0"],
+    "GPL-3.0-only": ["This work is licensed under the GNU General Public License, version 3.", "Licensed under the GNU General Public License, version 3.", "SPDX-License-Identifier: GPL-3.0-only", "SPDX-License-Identifier: GPL-3.0"],
+    "GPL-2.0-only": ["This work is licensed under the GNU General Public License, version 2.", "Licensed under the GNU General Public License, version 2.", "SPDX-License-Identifier: GPL-2.0-only", "SPDX-License-Identifier: GPL-2.0"],
     "MIT": ["Released under the MIT License.", "This project is licensed under the MIT License.", "Licensed under the MIT License.", "SPDX-License-Identifier: MIT"],
     "BSD-3-Clause": ["SPDX-License-Identifier: BSD-3-Clause"],
     "CC-BY-4.0": ["This work is licensed under a Creative Commons Attribution 4.0 International License.", "SPDX-License-Identifier: CC-BY-4.0"],
     "CC-BY-SA-4.0": ["This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."],
 }
 
+for _kind, _name in {"BY": "Attribution", "BY-SA": "Attribution-ShareAlike", "BY-ND": "Attribution-NoDerivatives", "BY-NC": "Attribution-NonCommercial", "BY-NC-SA": "Attribution-NonCommercial-ShareAlike", "BY-NC-ND": "Attribution-NonCommercial-NoDerivatives"}.items():
+    _lines = [f"{x} under {y}." for x in ("Licensed", "Released", "This work is licensed") for y in (f"CC {_kind} 4.0", f"a Creative Commons {_name} 4.0 International License", f"the Creative Commons {_name} 4.0 International License")]
+    # "Released under CC BY 4.0." has no word part that marks a notice line.
+    _lines = [x for x in _lines if "icen" in x] + [f"SPDX-License-Identifier: CC-{_kind}-4.0"]
+    NOTICES[f"CC-{_kind}-4.0"] = list(dict.fromkeys(NOTICES.get(f"CC-{_kind}-4.0", []) + _lines))
+for _id, _name in {"LGPL-2.1": "GNU Lesser General Public License, version 2.1", "LGPL-3.0": "GNU Lesser General Public License, version 3", "AGPL-3.0": "GNU Affero General Public License, version 3"}.items():
+    NOTICES[f"{_id}-only"] = [f"Licensed under the {_name}.", f"This work is licensed under the {_name}.", f"SPDX-License-Identifier: {_id}-only", f"SPDX-License-Identifier: {_id}"]
+    NOTICES[f"{_id}-or-later"] = [f"SPDX-License-Identifier: {_id}-or-later"]
+NOTICES |= {f"GPL-{v}-or-later": [f"SPDX-License-Identifier: GPL-{v}-or-later"] for v in ("2.0", "3.0")}
+NOTICES["MPL-2.0"] = ["Licensed under the Mozilla Public License, version 2.0.", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "SPDX-License-Identifier: MPL-2.0"]
+NOTICES |= {_id: [f"SPDX-License-Identifier: {_id}"] for _id in ("BSD-2-Clause", "ISC", "0BSD", "Zlib", "Unlicense", "CC0-1.0", "MPL-1.1")}
+
 #: Spellings that count as equal, as listed with the matching guidelines for licence texts.
 EQUIVALENT_WORDS: dict[str, str] = {
     "acknowledgement": "acknowledgment", "analogue": "analog", "analyse": "analyze", "artefact": "artifact", "authorisation": "authorization",

@@ -2,8 +2,8 @@
 
 The canonical form of a text leaves out copyright lines, puts A-Z in lower case, joins hyphenated words, takes every other
 run of ASCII punctuation and blanks as one blank, and writes equivalent spellings one way. Its SHA-256 is hash-joined with
-the digests of the known licences, a table of fixed size. Lines that contain the word part "icen" are looked up the same way
-among short notices, so that a notice inside a longer document is found.
+the digests of the known licences, a table of fixed size. Lines that contain the word part "icen" in
+either case, hyphenated or not, are looked up the same way among short notices, so that a notice inside a longer document is found.
 
 Null text has the digest of the empty text and no licence. Repeated rows give a row each. Extra columns are ignored; an
 empty table gives an empty result.
@@ -23,6 +23,8 @@ from cascata.llm.license_texts import EQUIVALENT_WORDS, LICENSES, NOTICES
 #: Lines that state a copyright: the word with a year, sign, name or placeholder behind it, or a bare sign.
 COPYRIGHT_LINE = r"^[^A-Za-z0-9(]*(?:[Cc][Oo][Pp][Yy][Rr][Ii][Gg][Hh][Tt](?:ed)?[ ]*(?:\([Cc]\)|©|[0-9]{4}|<|\[|\{|[Bb][Yy] )|\([Cc]\) |©|[Aa]ll [Rr]ights [Rr]eserved)"
 NOTICE_PART = "icen"
+#: What a line has whose canonical form contains the word part.
+NOTICE_LINE = "(?i)" + "-*".join(NOTICE_PART)
 
 
 def canonical_text(text: str | None) -> str:
@@ -60,7 +62,7 @@ def scan(documents: DataFrame, extra: dict[str, str] | None = None) -> DataFrame
     """doc_id, n_words, canonical_sha256, license_id (of the whole text) and notices (of its lines), a row per document."""
     notices = {digest(line): name for name, lines in NOTICES.items() for line in lines}
     known_notice = F.create_map(*[F.lit(x) for pair in sorted(notices.items()) for x in pair])
-    lines = F.filter(F.split(F.coalesce(F.col("text"), F.lit("")), "\n"), lambda x: F.contains(x, F.lit(NOTICE_PART)))
+    lines = F.filter(F.split(F.coalesce(F.col("text"), F.lit("")), "\n"), lambda x: x.rlike(NOTICE_LINE))
     named = F.transform(lines, lambda x: F.element_at(known_notice, F.sha2(canonical(x).cast("binary"), 256)))
     docs = documents.select("doc_id", canonical(F.col("text")).alias("_text"), F.array_sort(F.array_distinct(F.array_compact(named))).alias("_named"))
     docs = docs.select(

@@ -250,6 +250,17 @@ def test_licenses(spark):
     assert licenses.scan(frame(spark, [])).count() == 0
 
 
+def test_license_lines_in_any_case_and_full_texts(spark):
+    lines = {1: ("RELEASED UNDER THE MIT LICENSE.", "MIT"), 2: ("Licensed under CC BY-NC 4.0.", "CC-BY-NC-4.0"), 3: ("Re-leased under the MIT Li-cense.", "MIT"), 4: ("spdx-license-identifier: agpl-3.0-only", "AGPL-3.0-only"), 5: ("a cense or a lien", "")}
+    names = ["Apache-2.0", "GPL-2.0-only", "GPL-3.0-only", "LGPL-2.1-only", "LGPL-3.0-only", "MPL-2.0", "CC0-1.0"]
+    rows = [(i, f"text\n{line}\nmore") for i, (line, _) in lines.items()] + [(100 + i, licenses.LICENSES[n].replace(" ", "  ")) for i, n in enumerate(names)]
+    got = {r.doc_id: r for r in licenses.scan(frame(spark, rows)).collect()}
+    assert {i: got[i].notices for i in lines} == {i: name for i, (_, name) in lines.items()}
+    assert [got[100 + i].license_id for i in range(len(names))] == names
+    every = [(licenses.digest(x), n) for n, xs in licenses.NOTICES.items() for x in xs]
+    assert len({d for d, _ in every}) == len(every) and all(licenses.NOTICE_PART in licenses.canonical_text(x) for xs in licenses.NOTICES.values() for x in xs)
+
+
 def test_language_id(spark):
     rng = random.Random(6)
     vocab = {"xx": "lorem ipsum dolor sit amet", "yy": "zwei drei vier funf sechs", "zz": "ключ слово текст дом"}

@@ -1,12 +1,13 @@
 """Graph operators as loops of DataFrame joins over edge tables (src, dst), each round written to the shared folder.
 
-Reachability, nearest match and distances carry a hop bound, as cyclic graphs need one. Kernels without a relational form
+Distances and most walks carry a hop bound; :func:`reach` without one and the layers go on until nothing new is found. Kernels without a relational form
 (bridges, longest simple paths, rings, pattern classes) run per connected component through ``applyInPandas``; a component
 is bounded by the guard that the caller names, larger ones are reported as such.
 """
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections import defaultdict, deque
 
@@ -41,8 +42,8 @@ def oriented(edges: DataFrame, direction: str) -> DataFrame:
     raise ValueError(f"direction must be one of {DIRECTIONS}, not {direction!r}")
 
 
-def reach(edges: DataFrame, max_hops: int, direction: str = "downstream", starts: DataFrame | None = None, allowed: DataFrame | None = None, first_edges: DataFrame | None = None) -> DataFrame:
-    """(src, dst, hop) with the least hop from 1 to ``max_hops``; the start itself is left out.
+def reach(edges: DataFrame, max_hops: int | None, direction: str = "downstream", starts: DataFrame | None = None, allowed: DataFrame | None = None, first_edges: DataFrame | None = None) -> DataFrame:
+    """(src, dst, hop) with the least hop from 1 to ``max_hops`` (None: as far as edges lead); the start itself is left out.
 
     starts: column node, to walk only from some nodes. allowed: column node, nodes that a path may visit (its end included).
     first_edges: another adjacency for the first hop. Each round joins the new frontier only, and meets earlier rounds once.
@@ -56,7 +57,7 @@ def reach(edges: DataFrame, max_hops: int, direction: str = "downstream", starts
         first = first.join(starts.select(F.col("node").alias("src")).distinct(), "src", "left_semi")
     found = materialize(first.select("src", "dst", F.lit(1).alias("hop")), "reach")
     frontier = found
-    for hop in range(2, max_hops + 1):
+    for hop in itertools.count(2) if max_hops is None else range(2, max_hops + 1):
         new = frontier.select("src", F.col("dst").alias("_mid")).join(step.select(F.col("src").alias("_mid"), "dst"), "_mid").select("src", "dst").where("src <> dst").distinct()
         new = materialize(new.join(found, ["src", "dst"], "left_anti").select("src", "dst", F.lit(hop).alias("hop")), "reach")
         if new.isEmpty():

@@ -172,7 +172,7 @@ def common_upstream(spark, sf_dir):
     o = table(spark, sf_dir, "orders").where("o_totalprice > 150000")
     d = F.col("o_orderdate").cast("date")
     groups = o.where(F.floor(F.col("o_custkey") / 3) > 0).select(F.concat_ws("-", "o_orderpriority", F.year(d), F.month(d)).alias("group_id"), F.col("o_custkey").alias("site")).distinct()
-    return G.lowest_common_upstream(G.reach(tree(spark, sf_dir), 12, "upstream"), groups)
+    return G.lowest_common_upstream(G.reach(tree(spark, sf_dir), None, "upstream"), groups)
 
 
 @query("path_lengths", "WITH RECURSIVE " + MESH_SQL + _EITHER + ", d AS (SELECT src AS a, dst AS b, min(hop) AS hop FROM r WHERE src <> dst GROUP BY src, dst) SELECT a, b, hop FROM d WHERE hop BETWEEN 2 AND 3 AND (a, b) IN (SELECT l.s_suppkey, r.s_suppkey FROM supplier l JOIN supplier r USING (s_nationkey))")

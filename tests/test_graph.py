@@ -1,3 +1,4 @@
+import datetime
 import itertools
 import random
 
@@ -5,6 +6,7 @@ import pytest
 
 from cascata.operators import graph as G
 from cascata.operators.components import connected_components
+from cascata.queries import graphs
 
 
 def edges(spark, rows):
@@ -98,3 +100,12 @@ def test_anchors_and_radius(spark):
     assert [r.node for r in G.anchors(s).orderBy("node").collect()] == [1, 2, 5]
     p = spark.createDataFrame([(1, 2, 5.0), (1, 3, 7.0)], "a long, b long, km double")
     assert {r.node: r.radius_km for r in G.density_radius(p, 2, 1.5, 1.0, 50.0).collect()} == {1: 10.5, 2: 50.0, 3: 50.0}
+
+
+def test_common_upstream_at_any_depth(spark, tmp_path):
+    deep = 3**14
+    keys = [deep // 3**k for k in range(15)] + [4]
+    spark.createDataFrame([(k,) for k in keys], "c_custkey long").coalesce(1).write.parquet(f"file://{tmp_path}/customer.parquet")
+    day = datetime.date(1995, 3, 1)
+    spark.createDataFrame([(deep, 2e5, day, "5-LOW"), (4, 2e5, day, "5-LOW")], "o_custkey long, o_totalprice double, o_orderdate date, o_orderpriority string").coalesce(1).write.parquet(f"file://{tmp_path}/orders.parquet")
+    assert [tuple(r) for r in graphs.common_upstream(spark, f"file://{tmp_path}").collect()] == [("5-LOW-1995-3", 1, 15, 14)]

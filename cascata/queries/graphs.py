@@ -184,4 +184,4 @@ def path_lengths(spark, sf_dir):
 
 @query("layered_order", "WITH RECURSIVE " + MESH_SQL + ", r(node, layer) AS (SELECT src, 0 FROM mesh WHERE src NOT IN (SELECT dst FROM mesh) UNION SELECT dst, layer + 1 FROM r JOIN mesh ON src = node) SELECT node, max(layer) AS layer FROM r GROUP BY node")
 def layered_order(spark, sf_dir):
-    return G.layered_order(mesh(spark, sf_dir), 60)
+    return G.layered_order(mesh(spark, sf_dir))

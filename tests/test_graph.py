@@ -102,6 +102,13 @@ def test_anchors_and_radius(spark):
     assert {r.node: r.radius_km for r in G.density_radius(p, 2, 1.5, 1.0, 50.0).collect()} == {1: 10.5, 2: 50.0, 3: 50.0}
 
 
+def test_layers_go_on_to_the_end_of_a_chain(spark, tmp_path):
+    n = 63
+    spark.createDataFrame([(1001 + 2 * i, 1) for i in range(n)], "s_suppkey long, s_nationkey long").coalesce(1).write.parquet(f"file://{tmp_path}/supplier.parquet")
+    got = {r.node: r.layer for r in graphs.layered_order(spark, f"file://{tmp_path}").collect()}
+    assert got == {1001 + 2 * i: i for i in range(n)}
+
+
 def test_common_upstream_at_any_depth(spark, tmp_path):
     deep = 3**14
     keys = [deep // 3**k for k in range(15)] + [4]

@@ -1,23 +1,24 @@
-"""Jaccard self-join of documents on word shingles, by signature trees; exact.
+"""Jaccard self-join of documents on word shingles, by signature trees.
 
 A document's set is its distinct shingles of five lower-cased words, held as 64-bit hashes. Two documents link when
-100 * |A & B| >= 75 * |A | B|. The result gives each document the smallest doc_id that links lead to.
-
-1. Equal sets (compared by size and 128 bits of digest) become one class; only class representatives go on.
-2. A first pass links most near copies cheaply: representatives that share a pair of bin minima are checked against the
-   smallest and the largest one that shares it, and verified links give first components.
-3. The exact pass. All shingles have one total order, in which those known to be frequent come last, by frequency. Linked sets share one
-   of their first |A| - ceil(0.75 |A|) + 1 shingles in that order, so every missing link lies within a block of
-   representatives that have such a shingle in common. Blocks within one component need no more work, and of blocks with
-   equal members one is kept. Each remaining block gets signature trees: leaves hold a token bitmap and the size of one
-   document, inner nodes the OR of bitmaps and the size range below them. A dual traversal prunes node pairs whose largest
-   possible overlap, popcount(X & Y) plus the smaller number of bit collisions, is below what the sizes require. Surviving
-   pairs of different components are verified on their whole sets. Large blocks are cut into chunks, and each pair of
-   chunks is a task of its own.
-
-The frequent list only orders shingles: a poor list costs time, never a link. Null, empty and wordless texts have the
-empty set, link with nothing and are their own component. Rows that repeat a doc_id are one node and give a row each.
-Extra columns are ignored; an empty table gives an empty result.
+100 * |A & B| >= 75 * |A | B|. The result gives each document the smallest doc_id that links lead to. Every link is found
+and checked on whole sets; what hashing can err by is two different shingles of one pair of documents with one 64-bit hash,
+and two different sets (or blocks) with one size and one 128-bit digest.
+
+1. Equal sets become one class; only class representatives go on.
+2. All shingles have one total order, in which those known to be frequent come last, by frequency. Linked sets share one of
+   their first |A| - ceil(0.75 |A|) + 1 shingles in that order, so every link lies within a block of representatives that
+   have such a shingle in common. Of blocks with equal members one is kept.
+3. Each block gets signature trees (``signature_tree``), and their dual traversal finds the pairs that may link. The first
+   round takes the blocks of a few leading shingles of each document and of a block only pairs that span it; the documents'
+   most frequent partners are verified, and links make first components. The second round takes every block that holds
+   more than one component, and verifies all pairs of different components that the trees leave.
+4. A block of more than ``CHUNK`` documents is cut by size class, by component where one fills a chunk, and by hash. In the
+   second round each pair of its chunks that may hold links has trees of its own, so that no task holds a hot block.
+
+The frequent list only orders shingles, and the first round only saves work: a poor one costs time, never a link. Null,
+empty and wordless texts have the empty set, link with nothing and are their own component. Rows that repeat a doc_id are
+one node and give a row each. Extra columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -30,17 +31,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cascata.llm.common import attach, bounded_batches
+from cascata.llm.signature_tree import block_pairs, signature, size_class
 from cascata.llm.tokens import Frequent, Words, is_in, mix64, pieces, window_hashes
 from cascata.operators.components import connected_components
 from cascata.session import materialize
 
 SHINGLE = 5
 MIN_SHARE = 0.75
-BANDS, BINS_PER_BAND = 8, 2
-HOT_SHARE = 0.0002
-CHUNK = 2048
-BUNDLE = 50_000
-FAN_OUT = 8
+#: Shingles of at least this share of all documents are listed as frequent, the most frequent HOT_MOST at most.
+HOT_SHARE, HOT_MOST = 0.0002, 1 << 19
+#: Of each document's prefix, the first round takes so many shingles that are not listed and so many that are.
+LEADING = 3
+CHUNK = 1024
+#: Tree tasks gather blocks up to this many bytes before they build their trees.
+FOREST_BYTES = 8 << 20
 _SALTS = np.array([0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64)
 
 
@@ -73,27 +77,12 @@ def _digests(sets: np.ndarray, first: np.ndarray) -> list[np.ndarray]:
     return out
 
 
-def _bands(sets: np.ndarray) -> list[int]:
-    """Keys from the minimum of each bin of the hash range; sets is sorted. Empty bins leave out their band."""
-    n = BANDS * BINS_PER_BAND
-    edges = (np.arange(n + 1, dtype=object) * (1 << 64) // n)[:-1].astype(np.uint64)
-    mixed = sets  # shingle hashes are uniform already
-    at = np.searchsorted(mixed, edges)
-    ends = np.append(at[1:], len(mixed))
-    least = np.where(at < ends, mixed[np.minimum(at, len(mixed) - 1)], np.uint64(0)).reshape(BANDS, BINS_PER_BAND)
-    keys = np.zeros(BANDS, np.uint64)
-    for j in range(BINS_PER_BAND):
-        keys = mix64((keys + least[:, j]) * np.uint64(0x9E3779B97F4A7C15))
-    whole = (least != 0).any(axis=1)
-    return keys[whole].view(np.int64).tolist()
-
-
-_FEATURES = "doc_id long, n long, d1 long, d2 long, bands array<long>, token long, freq long"
+_FEATURES = "doc_id long, n long, d1 long, d2 long, token long, freq long"
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A row per document, and at the end of the task a row for each frequent shingle."""
-    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()), ("bands", pa.list_(pa.int64())), ("token", pa.int64()), ("freq", pa.int64())])
+    schema = pa.schema([(c.split()[0], pa.int64()) for c in _FEATURES.split(", ")])
     frequent = Frequent(gather=1_500_000, keep=100_000)
     for batch in batches:
         ids = batch.column("doc_id")
@@ -101,14 +90,12 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sets, first = shingle_sets(raw, bounds)
             frequent.add(sets)
             d1, d2 = _digests(sets, first)
-            n = np.diff(first)
-            bands = [_bands(sets[x:y]) if y > x else [] for x, y in zip(first[:-1].tolist(), first[1:].tolist())]
             none = pa.nulls(b - a, pa.int64())
-            yield pa.RecordBatch.from_arrays([ids.slice(a, b - a).cast(pa.int64()), pa.array(n), pa.array(d1), pa.array(d2), pa.array(bands, pa.list_(pa.int64())), none, none], schema=schema)
+            yield pa.RecordBatch.from_arrays([ids.slice(a, b - a).cast(pa.int64()), pa.array(np.diff(first)), pa.array(d1), pa.array(d2), none, none], schema=schema)
     tokens, counts = frequent.items()
     if len(tokens):
         none = pa.nulls(len(tokens), pa.int64())
-        yield pa.RecordBatch.from_arrays([none, none, none, none, pa.nulls(len(tokens), pa.list_(pa.int64())), pa.array(tokens.view(np.int64)), pa.array(counts)], schema=schema)
+        yield pa.RecordBatch.from_arrays([none, none, none, none, pa.array(tokens.view(np.int64)), pa.array(counts)], schema=schema)
 
 
 def _overlap(a: np.ndarray, b: np.ndarray) -> int:
@@ -149,19 +136,21 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return with_b.select("a", "b", "text_a", "text_b").mapInArrow(_verify, "a long, b long")
 
 
-def _late_last(mine: np.ndarray, hot: np.ndarray, weight: np.ndarray) -> np.ndarray:
-    """A set in the common order: unlisted shingles by hash, then listed ones by their count and hash."""
-    at = np.minimum(np.searchsorted(hot, mine), len(hot) - 1) if len(hot) else np.zeros(len(mine), np.int64)
-    late = hot[at] == mine if len(hot) else np.zeros(len(mine), bool)
+def _in_order(mine: np.ndarray, hot: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, int]:
+    """A set in the common order: unlisted shingles by hash, then listed ones by their count and hash; and how many are unlisted."""
+    late = is_in(mine, hot)
     if not late.any():
-        return mine
+        return mine, len(mine)
     tail = mine[late]
-    return np.concatenate((mine[~late], tail[np.lexsort((tail, weight[at[late]]))]))
+    return np.concatenate((mine[~late], tail[np.lexsort((tail, weight[np.searchsorted(hot, tail)]))])), len(mine) - len(tail)
+
+
+_ROWS = "token long, doc_id long, comp long, n long, kind int, sig binary"
 
 
-def _prefix_rows(hot_values):
-    """Per document: one row with its signature (token null), and a row per prefix shingle."""
-    schema = pa.schema([("token", pa.int64()), ("doc_id", pa.int64()), ("comp", pa.int64()), ("n", pa.int64()), ("sig", pa.binary())])
+def _prefix_rows(hot_values, leading: bool):
+    """Per document: a row with its size, size class and signature (token null), and a row per shingle of its prefix."""
+    schema = pa.schema([("token", pa.int64()), ("doc_id", pa.int64()), ("comp", pa.int64()), ("n", pa.int64()), ("kind", pa.int32()), ("sig", pa.binary())])
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hot, weight = hot_values.value
@@ -169,209 +158,136 @@ def _prefix_rows(hot_values):
             ids, comps = np.asarray(batch.column("doc_id")), np.asarray(batch.column("comp"))
             for a, b, raw, bounds in pieces(batch.column("text")):
                 sets, first = shingle_sets(raw, bounds)
-                took, sigs, sizes = [], [], np.zeros(b - a, np.int64)
+                n = np.diff(first)
+                took, sigs = [np.zeros(0, np.uint64)] * (b - a), []
                 for i, (x, y) in enumerate(zip(first[:-1].tolist(), first[1:].tolist())):
-                    n = y - x
-                    length = n - (3 * n + 3) // 4 + 1 if n else 0
-                    took.append(_late_last(sets[x:y], hot, weight)[:length])
-                    sizes[i] = length
                     sigs.append(signature(sets[x:y]))
-                tokens = np.concatenate(took) if took else np.zeros(0, np.uint64)
-                n = np.diff(first)
-                yield pa.RecordBatch.from_arrays([pa.array(tokens.view(np.int64)), pa.array(np.repeat(ids[a:b], sizes)), pa.array(np.repeat(comps[a:b], sizes)), pa.array(np.repeat(n, sizes)), pa.nulls(len(tokens), pa.binary())], schema=schema)
-                yield pa.RecordBatch.from_arrays([pa.nulls(b - a, pa.int64()), pa.array(ids[a:b]), pa.array(comps[a:b]), pa.array(n), pa.array(sigs, pa.binary())], schema=schema)
+                    if y > x:
+                        ordered, rare = _in_order(sets[x:y], hot, weight)
+                        prefix = ordered[: (y - x) - (3 * (y - x) + 3) // 4 + 1]
+                        took[i] = np.concatenate((prefix[:rare][:LEADING], prefix[rare:][:LEADING])) if leading else prefix
+                tokens, sizes = np.concatenate(took), np.array([len(t) for t in took])
+                none = pa.nulls(len(tokens), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(tokens.view(np.int64)), pa.array(np.repeat(ids[a:b], sizes)), pa.array(np.repeat(comps[a:b], sizes)), none, pa.nulls(len(tokens), pa.int32()), pa.nulls(len(tokens), pa.binary())], schema=schema)
+                yield pa.RecordBatch.from_arrays([pa.nulls(b - a, pa.int64()), pa.array(ids[a:b]), pa.array(comps[a:b]), pa.array(n), pa.array(size_class(n).astype(np.int32)), pa.array(sigs, pa.binary())], schema=schema)
 
     return rows
 
 
-def width_of(n: int) -> int:
-    """Bits of the bitmap of a set of n tokens: a power of two, at least twice n, from 256 to 65536."""
-    return min(65536, max(256, 1 << (2 * n - 1).bit_length())) if n else 256
-
-
-def signature(tokens: np.ndarray) -> bytes:
-    bits = np.zeros(width_of(len(tokens)), np.uint8)
-    bits[tokens & np.uint64(len(bits) - 1)] = 1
-    return np.packbits(bits, bitorder="little").tobytes()
-
-
-class Level:
-    """One level of a signature tree, as arrays: OR of bitmaps, size range, most bit collisions, common component or -1."""
-
-    __slots__ = ("bits", "least", "most", "excess", "comp")
-
-    def __init__(self, bits, least, most, excess, comp):
-        self.bits, self.least, self.most, self.excess, self.comp = bits, least, most, excess, comp
-
-    def above(self) -> Level:
-        at = np.arange(0, len(self.least), FAN_OUT)
-        low, high = np.minimum.reduceat(self.comp, at), np.maximum.reduceat(self.comp, at)
-        return Level(np.bitwise_or.reduceat(self.bits, at, axis=0), np.minimum.reduceat(self.least, at), np.maximum.reduceat(self.most, at), np.maximum.reduceat(self.excess, at), np.where(low == high, low, -1))
-
-
-class Tree:
-    """A signature tree over documents (size, doc_id, comp, signature); bitmaps are folded to ``width`` bits."""
-
-    def __init__(self, docs: list[tuple[int, int, int, bytes]], width: int):
-        docs = sorted(docs, key=lambda d: (d[0], d[2], d[1]))
-        self.docs = np.array([d[1] for d in docs], np.int64)
-        sizes = np.array([d[0] for d in docs], np.int64)
-        bits = np.zeros((len(docs), width // 64), np.uint64)
-        for i, d in enumerate(docs):
-            bits[i] = np.bitwise_or.reduce(np.frombuffer(d[3], np.uint64).reshape(-1, width // 64), axis=0)
-        names = {c: i for i, c in enumerate(sorted({d[2] for d in docs}))}
-        self.names = np.array(list(names), np.int64)
-        comp = np.array([names[d[2]] for d in docs], np.int64)
-        self.levels = [Level(bits, sizes, sizes, sizes - np.bitwise_count(bits).sum(axis=1).astype(np.int64), comp)]
-        while len(self.levels[-1].least) > 1:
-            self.levels.append(self.levels[-1].above())
-
-    def component(self, level: int, nodes: np.ndarray) -> np.ndarray:
-        """The component id of uniform nodes, and a value that no component has for mixed ones."""
-        comp = self.levels[level].comp[nodes]
-        return np.where(comp >= 0, self.names[np.maximum(comp, 0)], -(1 << 62))
-
-
-def dual_traversal(x: Tree, y: Tree) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Arrays of pairs (doc of x, doc of y) in different components that no bound rules out; x may be y.
+def _tree_task(spanning: bool):
+    """Rows (u1, u2, side, n, doc_id, comp, sig), sorted by block (u1, u2): the pairs that each block's trees leave."""
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
-    Node pairs go down both trees together, depth first and a bounded number at a time; each step evaluates its pairs at once.
-    """
-    words = x.levels[0].bits.shape[1]
-    at_once = max(1, (1 << 21) // (FAN_OUT * FAN_OUT * words))
-    top = max(len(x.levels), len(y.levels)) - 1
-    zero = np.zeros(1, np.int64)
-    stack = [(top, zero, zero)]
-    while stack:
-        depth, i, j = stack.pop()
-        a, b = min(depth, len(x.levels) - 1), min(depth, len(y.levels) - 1)
-        p, q = x.levels[a], y.levels[b]
-        ci, cj = x.component(a, i), y.component(b, j)
-        keep = ((ci != cj) | (ci == -(1 << 62))) & (4 * p.most[i] >= 3 * q.least[j]) & (4 * q.most[j] >= 3 * p.least[i])
-        i, j = i[keep], j[keep]
-        if not len(i):
-            continue
-        possible = np.bitwise_count(p.bits[i] & q.bits[j]).sum(axis=1).astype(np.int64) + np.minimum(p.excess[i], q.excess[j])
-        possible = np.minimum(possible, np.minimum(p.most[i], q.most[j]))
-        keep = 7 * possible >= 3 * (p.least[i] + q.least[j])
-        i, j = i[keep], j[keep]
-        if not depth:
-            if x is y:
-                i, j = i[i < j], j[i < j]
-            yield x.docs[i], y.docs[j]
-            continue
-        left = [(k * FAN_OUT, min((k + 1) * FAN_OUT, len(x.levels[depth - 1].least))) if depth <= len(x.levels) - 1 else (k, k + 1) for k in i.tolist()]
-        right = [(k * FAN_OUT, min((k + 1) * FAN_OUT, len(y.levels[depth - 1].least))) if depth <= len(y.levels) - 1 else (k, k + 1) for k in j.tolist()]
-        for at in range(0, len(i), at_once):
-            pieces_i, pieces_j = [], []
-            for (a0, a1), (b0, b1) in zip(left[at : at + at_once], right[at : at + at_once]):
-                m, n = np.arange(a0, a1), np.arange(b0, b1)
-                u, v = np.repeat(m, len(n)), np.tile(n, len(m))
-                if x is y:
-                    u, v = u[u <= v], v[u <= v]
-                pieces_i.append(u)
-                pieces_j.append(v)
-            stack.append((depth - 1, np.concatenate(pieces_i), np.concatenate(pieces_j)))
-
-
-def _size_class(n: int) -> int:
-    """Sizes of linked sets are in the same class or in neighbouring ones: a class spans a factor of 4 / 3."""
-    return int(np.floor(np.log(n) / np.log(4 / 3) + 1e-9))
-
-
-def _leaf_pairs(docs: list[tuple[int, int, int, bytes, int]], left: int, right: int) -> set[tuple[int, int]]:
-    """The same bound for a block that fits into one leaf."""
-    found = set()
-    bits = [int.from_bytes(d[3], "little") for d in docs]
-    for i, (n, a, comp, sig, chunk) in enumerate(docs):
-        for j in range(i):
-            m, b, other, sig_b, chunk_b = docs[j]
-            if comp == other or 4 * min(n, m) < 3 * max(n, m) or (left != right and chunk == chunk_b):
-                continue
-            width = 8 * min(len(sig), len(sig_b))
-            x, y = _folded(bits[i], 8 * len(sig), width), _folded(bits[j], 8 * len(sig_b), width)
-            possible = (x & y).bit_count() + min(n - x.bit_count(), m - y.bit_count())
-            if 7 * min(possible, n, m) >= 3 * (n + m):
-                found.add((min(a, b), max(a, b)))
-    return found
-
-
-def _folded(bits: int, width: int, to: int) -> int:
-    while width > to:
-        width //= 2
-        bits = (bits & ((1 << width) - 1)) | (bits >> width)
-    return bits
-
-
-def block_pairs(docs: list[tuple[int, int, int, bytes, int]], left: int, right: int) -> set[tuple[int, int]]:
-    """Candidate pairs of a block (or of a pair of its chunks); docs: (size, doc_id, comp, signature, chunk)."""
-    if len(docs) <= FAN_OUT:
-        return _leaf_pairs(docs, left, right)
-    found: set[tuple[int, int]] = set()
-    sides: list[dict[int, list]] = []
-    for chunk in dict.fromkeys((left, right)):
-        classes: dict[int, list] = {}
-        for n, doc, comp, sig, c in docs:
-            if c == chunk:
-                classes.setdefault(_size_class(n), []).append((n, doc, comp, sig))
-        sides.append(classes)
-    one, two = sides[0], sides[-1]
-    for c in one:
-        for d in (c, c + 1) if one is two else (c - 1, c, c + 1):
-            if d not in two:
+    def pairs_of(rows: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        key = [np.asarray(rows.column(c)) for c in ("u1", "u2")]
+        new = np.concatenate(([True], (key[0][1:] != key[0][:-1]) | (key[1][1:] != key[1][:-1])))
+        block = np.cumsum(new) - 1
+        side = np.asarray(rows.column("side")).astype(np.int64)
+        crossed = np.bincount(block, side) > 0
+        arrays = (np.asarray(rows.column(c)) for c in ("n", "doc_id", "comp"))
+        last = np.zeros((0, 2), np.int64)
+        for a, b in block_pairs(block, side, crossed, *arrays, rows.column("sig"), spanning):
+            last = np.unique(np.concatenate((last, np.stack((a, b), 1))), axis=0)
+            if len(last) >= 100_000:
+                yield pa.RecordBatch.from_arrays([pa.array(last[:, 0]), pa.array(last[:, 1])], schema=schema)
+                last = last[:0]
+        yield pa.RecordBatch.from_arrays([pa.array(last[:, 0]), pa.array(last[:, 1])], schema=schema)
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            held.append(batch)
+            if sum(b.nbytes for b in held) < FOREST_BYTES:
                 continue
-            width = min(8 * len(s[3]) for s in (*one[c], *two[d]))
-            x = Tree(one[c], width)
-            y = x if one is two and c == d else Tree(two[d], width)
-            for a, b in dual_traversal(x, y):
-                found.update(zip(np.minimum(a, b).tolist(), np.maximum(a, b).tolist()))
-    return found
-
-
-def _tree_task(table: pa.Table) -> pa.Table:
-    """Many blocks: rows (token, left, right, n, doc_id, comp, sig, chunk). A call per block would cost more than the block."""
-    table = table.sort_by([(c, "ascending") for c in ("token", "left", "right")])
-    key = [np.asarray(table[c]) for c in ("token", "left", "right")]
-    new = np.ones(len(table), bool)
-    if len(table):
-        new[1:] = np.any([k[1:] != k[:-1] for k in key], axis=0)
-    cut = [*np.flatnonzero(new).tolist(), len(table)]
-    n, doc, comp, chunk = (table[c].to_pylist() for c in ("n", "doc_id", "comp", "chunk"))
-    sig = table["sig"].to_pylist()
-    found: set[tuple[int, int]] = set()
-    for a, b in zip(cut, cut[1:]):
-        found |= block_pairs(list(zip(n[a:b], doc[a:b], comp[a:b], sig[a:b], chunk[a:b])), int(key[1][a]), int(key[2][a]))
-    pairs = sorted(found)
-    return pa.table({"a": pa.array([p[0] for p in pairs], pa.int64()), "b": pa.array([p[1] for p in pairs], pa.int64())})
-
-
-def candidates(texts: DataFrame, comps: DataFrame, hot: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """Pairs of representatives in different components that may link. comps: node, comp for every representative."""
+            rows = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            u1, u2 = (np.asarray(rows.column(c)) for c in ("u1", "u2"))
+            whole = int(np.flatnonzero((u1 != u1[-1]) | (u2 != u2[-1]))[-1]) + 1 if (u1[0], u2[0]) != (u1[-1], u2[-1]) else 0  # the last block may go on
+            if whole:
+                yield from pairs_of(rows.slice(0, whole))
+            held = [rows.slice(whole)]
+        if sum(map(len, held)):
+            yield from pairs_of(pa.Table.from_batches(held).combine_chunks().to_batches()[0])
+
+    return task
+
+
+def _cut(leaves: DataFrame) -> DataFrame:
+    """Leaves of large blocks as rows of units (u1, u2): a chunk (one side) or two chunks whose pairs lie across them."""
+    cells = leaves.groupBy("token", "kind", "comp").agg(F.count("*").alias("n_cell"))
+    cells = cells.withColumn("pure", F.when(F.col("n_cell") >= CHUNK // 2, F.col("comp")))
+    groups = materialize(cells.groupBy("token", "kind", "pure").agg(F.ceil(F.sum("n_cell") / CHUNK).cast("int").alias("chunks")), "ngram-cells")
+    pure = materialize(cells.where("pure is not null").select(F.col("token").alias("_t"), F.col("kind").alias("_k"), F.col("pure").alias("_p")), "ngram-pure")
+    x, y = (groups.select(F.col("token").alias(f"{s}t"), F.col("kind").alias(f"{s}k"), F.col("pure").alias(f"{s}p"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias(f"{s}c")) for s in "xy")
+    same_cell = (F.col("yk") == F.col("xk")) & F.col("yp").eqNullSafe(F.col("xp"))
+    # A chunk of one component has no open pair inside; of two cells of one class each pair of chunks comes once.
+    within = same_cell & F.col("xp").isNull() & (F.col("yc") >= F.col("xc"))
+    beside = (F.col("yk") == F.col("xk")) & (F.col("xp").isNull() & F.col("yp").isNotNull() | (F.col("xp") < F.col("yp")))
+    above = (F.col("yk") == F.col("xk") + 1) & ~F.coalesce(F.col("xp") == F.col("yp"), F.lit(False))
+    units = x.join(y, F.col("xt") == F.col("yt")).where(within | beside | above)
+    units = materialize(units.withColumn("unit", F.monotonically_increasing_id()), "ngram-units")
+    placed = leaves.join(pure, (F.col("token") == F.col("_t")) & (F.col("kind") == F.col("_k")) & (F.col("comp") == F.col("_p")), "left").drop("_t", "_k")
+    placed = placed.join(groups.select(F.col("token").alias("_t"), F.col("kind").alias("_k"), F.col("pure").alias("_q"), "chunks"), (F.col("token") == F.col("_t")) & (F.col("kind") == F.col("_k")) & F.col("_p").eqNullSafe(F.col("_q")))
+    placed = placed.withColumn("_c", F.pmod(F.xxhash64("doc_id"), F.col("chunks").cast("long")).cast("int")).select("token", "doc_id", "comp", "n", "kind", "sig", "_p", "_c")
+
+    def flank(s: str) -> DataFrame:
+        on = (F.col("token") == F.col(f"{s}t")) & (F.col("kind") == F.col(f"{s}k")) & F.col("_p").eqNullSafe(F.col(f"{s}p")) & (F.col("_c") == F.col(f"{s}c"))
+        one = same_cell & (F.col("xc") == F.col("yc"))
+        mine = units.where(~one) if s == "y" else units
+        side = F.lit(0 if s == "x" else 1)
+        return mine.join(placed, on).select(F.col("unit").alias("u1"), F.lit(-1).cast("long").alias("u2"), side.alias("side"), "n", "doc_id", "comp", "sig")
+
+    return flank("x").unionByName(flank("y"))
+
+
+def candidates(texts: DataFrame, hot: tuple[np.ndarray, np.ndarray], first_round: bool) -> DataFrame:
+    """(a, b): pairs of representatives in different components that may link. texts: doc_id, comp, text.
+
+    In the first round, pairs that span the blocks of each document's leading shingles.
+    """
     spark = texts.sparkSession
-    rows = attach(texts, comps, "doc_id", "node", "inner").select("doc_id", "comp", "text").mapInArrow(_prefix_rows(spark.sparkContext.broadcast(hot)), "token long, doc_id long, comp long, n long, sig binary")
-    member = F.xxhash64("doc_id")
+    rows = texts.select("doc_id", "comp", "text").mapInArrow(_prefix_rows(spark.sparkContext.broadcast(hot), first_round), _ROWS)
+    if first_round:  # a few rows per document, which cost less to keep than to make again
+        rows = materialize(rows, "ngram-leading")
     blocks = (
-        rows.where("token is not null").select("token", "doc_id", "comp")
+        rows.where("token is not null")
         .groupBy("token")
-        .agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("n_docs"), F.bit_xor(member).alias("x"), F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
+        .agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("n_docs"), F.bit_xor(F.xxhash64("doc_id")).alias("x"), F.bit_xor(F.xxhash64("doc_id", F.lit(1))).alias("y"))
         .where("low < high")
-        .groupBy("n_docs", "x", "first", "last").agg(F.min("token").alias("block"), F.min("low").alias("low"))
+        .groupBy("n_docs", "x", "y").agg(F.min("token").alias("block"))
     )
-    blocks = materialize(blocks.select("block", "low", "n_docs", F.ceil(F.col("n_docs") / CHUNK).cast("int").alias("chunks")), "ngram-blocks")
-    # Blocks of one component go to one bundle, where pairs that several of them share come once; large sets are spread.
-    spread = blocks.groupBy(F.col("low").alias("_low")).agg(F.ceil(F.sum("n_docs") / BUNDLE).alias("parts"))
-    wanted = materialize(blocks.join(spread, F.col("low") == F.col("_low")).select("block", "low", "chunks", "parts"), "ngram-blocks")
-    wanted = wanted.union(spark.range(1).select(F.lit(None).cast("long"), F.lit(None).cast("long"), F.lit(1), F.lit(1).cast("long")))
-    found = materialize(attach(rows, wanted, "token", "block", "inner", null_safe=True), "ngram-rows")
-    sigs = found.where("token is null").select("doc_id", "sig")
-    inside = found.where("token is not null").select("token", "doc_id", "comp", "n", "chunks", "low", "parts")
-    inside = inside.withColumn("chunk", F.pmod(member, F.col("chunks").cast("long")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))
-    dealt = inside.join(sigs, "doc_id").withColumn("other", other)
-    dealt = dealt.select("token", F.least("chunk", "other").alias("left"), F.greatest("chunk", "other").alias("right"), "n", "doc_id", "comp", "sig", "chunk", "low", "parts")
-    bundles = max(1, -(-found.count() // BUNDLE))
-    dealt = dealt.withColumn("bundle", F.pmod(F.xxhash64("low", F.pmod(F.xxhash64("token", "left", "right"), F.col("parts"))), F.lit(bundles)))
-    return dealt.groupBy("bundle").applyInArrow(_tree_task, "a long, b long").distinct()
+    blocks = materialize(blocks.select("block", "n_docs"), "ngram-blocks")
+    some = blocks.unionByName(spark.range(1).select(F.lit(None).cast("long").alias("block"), F.lit(0).cast("long").alias("n_docs")))
+    found = attach(rows, some, "token", "block", "inner", null_safe=True, size=80 * blocks.count())
+    found = materialize(found.select("token", "doc_id", "comp", "n", "kind", "sig", "n_docs"), "ngram-rows")
+    sigs = found.where("token is null").select("doc_id", "n", "kind", "sig")
+    leaves = found.where("token is not null").select("token", "doc_id", "comp", "n_docs").join(sigs, "doc_id")
+    plain = leaves.where(F.col("n_docs") <= CHUNK).select(F.col("token").alias("u1"), F.lit(0).cast("long").alias("u2"), F.lit(0).alias("side"), "n", "doc_id", "comp", "sig")
+    if blocks.where(F.col("n_docs") > CHUNK).isEmpty():
+        units = plain
+    elif first_round:  # large blocks are dealt to chunks twice, by two seeds
+        chunks = F.ceil(F.col("n_docs") / CHUNK).cast("long")
+        twice = leaves.where(F.col("n_docs") > CHUNK).withColumn("seed", F.explode(F.array(F.lit(0), F.lit(1))))
+        place = 1 + F.pmod(F.xxhash64("doc_id", "seed"), chunks) + F.col("seed") * chunks
+        units = plain.unionByName(twice.select(F.col("token").alias("u1"), place.cast("long").alias("u2"), F.lit(0).alias("side"), "n", "doc_id", "comp", "sig"))
+    else:
+        units = plain.unionByName(_cut(leaves.where(F.col("n_docs") > CHUNK).drop("n_docs")))
+    dealt = units.repartition("u1", "u2").sortWithinPartitions("u1", "u2")
+    return dealt.mapInArrow(_tree_task(first_round), "a long, b long")
+
+
+def _frequent(features: DataFrame, n_docs: int) -> tuple[np.ndarray, np.ndarray]:
+    """Frequent shingles with their counts, sorted by shingle: HOT_MOST at most, the rest of the order needs no list."""
+    listed = features.where("token is not null").groupBy("token").agg(F.sum("freq").alias("freq"))
+    listed = materialize(listed.where(F.col("freq") >= max(4.0, HOT_SHARE * n_docs)), "ngram-frequent")
+    least, n = 0, 0
+    for r in listed.groupBy(F.floor(F.log2("freq")).alias("p")).count().orderBy(F.desc("p")).collect():  # at most 64 rows
+        n += r["count"]
+        if n > HOT_MOST:
+            least = 2 << r["p"]
+            break
+    rows = listed.where(F.col("freq") >= least).toArrow()
+    order = np.argsort(np.asarray(rows["token"]).view(np.uint64))
+    return np.asarray(rows["token"]).view(np.uint64)[order], np.asarray(rows["freq"])[order]
 
 
 def link_documents(documents: DataFrame) -> DataFrame:
@@ -379,29 +295,24 @@ def link_documents(documents: DataFrame) -> DataFrame:
     bounded_batches(documents.sparkSession)
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
     features = materialize(docs.mapInArrow(_features, _FEATURES), "ngram-features")
-    rows = features.where("n is not null").select("doc_id", "n", "d1", "d2", "bands")
-    n_docs = rows.count()
-    hot_rows = features.where("token is not null").groupBy("token").agg(F.sum("freq").alias("freq")).where(F.col("freq") >= max(4.0, HOT_SHARE * n_docs)).select("token", "freq").toArrow()
-    order = np.argsort(np.asarray(hot_rows["token"]).view(np.uint64))  # at most (mean set size / HOT_SHARE) values
-    hot = np.asarray(hot_rows["token"]).view(np.uint64)[order], np.asarray(hot_rows["freq"])[order]
+    rows = features.where("n is not null").select("doc_id", "n", "d1", "d2")
+    hot = _frequent(features, rows.count())
 
     filled = rows.where("n > 0")
-    classes = materialize(filled.groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands")).where("rep is not null"), "ngram-classes")
-    reps = classes.groupBy(F.col("rep").alias("node")).agg(F.min("d1").alias("_d1"), F.min("d2").alias("_d2"))
-    # One text for each representative, also where a doc_id repeats.
-    texts = attach(docs, reps.select("node"), "doc_id", "node", "left_semi")
-
-    keys = classes.select("rep", F.posexplode("bands").alias("band", "key"))
-    ends = keys.groupBy("band", "key").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low < high")
-    near = keys.join(ends, ["band", "key"]).select("rep", F.explode(F.array("low", "high")).alias("to")).where("rep <> to")
-    best = near.groupBy(F.col("rep").alias("a"), F.col("to").alias("b")).agg(F.count("*").alias("votes"))
-    best = best.groupBy("a").agg(F.max(F.struct("votes", F.col("b").alias("b"))).alias("m")).select("a", "m.b")
+    classes = materialize(filled.groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("rep")).where("rep is not null"), "ngram-classes")
+    reps = classes.select(F.col("rep").alias("node")).distinct()
+    # One text for each representative, also where a doc_id repeats with different texts.
+    texts = attach(docs, materialize(reps, "ngram-reps"), "doc_id", "node", "left_semi")
+
+    near = candidates(texts.withColumn("comp", F.col("doc_id")), hot, first_round=True)
+    best = near.groupBy("a", "b").agg(F.count("*").alias("votes")).groupBy("a").agg(F.max(F.struct("votes", (-F.col("b")).alias("last"))).alias("m"))
+    best = materialize(best.select("a", (-F.col("m.last")).alias("b")), "ngram-near")
     first_links = materialize(verified(best, texts), "ngram-links")
     first_comps = connected_components(first_links, "a", "b").select(F.col("node").alias("_n"), F.col("component").alias("_c"))
-    comps = materialize(reps.select("node").join(first_comps, F.col("node") == F.col("_n"), "left").select("node", F.coalesce("_c", "node").alias("comp")), "ngram-comps")
+    comps = materialize(reps.join(first_comps, F.col("node") == F.col("_n"), "left").select("node", F.coalesce("_c", "node").alias("comp")), "ngram-comps")
 
-    pairs = materialize(candidates(texts, comps, hot), "ngram-pairs")
-    links = materialize(verified(pairs, texts), "ngram-links").union(first_links)
+    open_pairs = candidates(attach(docs, comps, "doc_id", "node", "inner"), hot, first_round=False)
+    links = materialize(verified(materialize(open_pairs.distinct(), "ngram-pairs"), texts), "ngram-links").union(first_links)
     final = connected_components(links, "a", "b").select(F.col("node").alias("_n"), F.col("component").alias("_c"))
     named = classes.join(final, F.col("rep") == F.col("_n"), "left").select("n", "d1", "d2", F.coalesce("_c", "rep").alias("component_id"))
     joined = filled.select("doc_id", "n", "d1", "d2").join(named, ["n", "d1", "d2"], "left").select("doc_id", F.col("n").alias("n_shingles"), "component_id")

@@ -5,10 +5,11 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from cascata.llm import ann_aq, decontam, html_extract, langid, licenses, line_dedup, mixing, ngram_join, substring_dedup, warc
+from cascata.llm import ann_aq, decontam, html_extract, langid, licenses, line_dedup, mixing, ngram_join, signature_tree, substring_dedup, warc
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 NORMAL = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -62,19 +63,80 @@ def test_ngram_join_of_nothing(spark):
     assert [tuple(r) for r in ngram_join.link_documents(frame(spark, [(1, None), (2, "")])).orderBy("doc_id").collect()] == [(1, 0, 1), (2, 0, 2)]
 
 
-def test_signature_tree_keeps_every_link():
-    rng = np.random.default_rng(5)
-    base = [np.unique(rng.integers(0, 2**63, n).astype(np.uint64)) for n in (3, 40, 200, 1500)]
+def token_sets(seed, n=240):
+    rng = np.random.default_rng(seed)
+    base = [np.unique(rng.integers(0, 2**63, k).astype(np.uint64)) for k in (3, 40, 200, 1500)]
     sets = []
-    for k in range(240):
+    for k in range(n):
         b = base[k % 4]
         kept = b[rng.random(len(b)) > rng.random() * 0.3]
         sets.append(np.unique(np.concatenate((kept, rng.integers(0, 2**63, len(b) // 8 + 1).astype(np.uint64)))))
-    docs = [(len(s), i, i if i % 9 else 1000, ngram_join.signature(s), i % 3) for i, s in enumerate(sets)]
-    want = {(j, i) for i in range(len(sets)) for j in range(i) if docs[i][2] != docs[j][2] and 7 * len(np.intersect1d(sets[i], sets[j])) >= 3 * (len(sets[i]) + len(sets[j]))}
-    found = set().union(*[ngram_join.block_pairs([d for d in docs if d[4] in (a, b)], a, b) for a in range(3) for b in range(a, 3)])
-    assert want and want <= found
-    assert len(found) < len(docs) ** 2 / 4
+    return sets
+
+
+def tree_pairs(sets, block, side, comp, spanning=False):
+    order = np.argsort(block, kind="stable")
+    block, side, comp = (np.asarray(x, np.int64)[order] for x in (block, side, comp))
+    sigs = pa.array([signature_tree.signature(sets[i]) for i in order], pa.binary())
+    crossed = np.bincount(block, side) > 0
+    found = signature_tree.block_pairs(block, side, crossed, np.array([len(sets[i]) for i in order]), order.astype(np.int64), comp, sigs, spanning)
+    return {(int(y), int(x)) for a, b in found for x, y in zip(a, b)}
+
+
+@pytest.mark.parametrize("blocks,sides", [(1, 1), (1, 2), (7, 1), (60, 2)])
+def test_signature_tree_keeps_every_link(blocks, sides):
+    sets = token_sets(5)
+    n = len(sets)
+    block, side, comp = [i * 7 % blocks for i in range(n)], [i % 3 % sides for i in range(n)], [i if i % 9 else 1000 for i in range(n)]
+    met = [(j, i) for i in range(n) for j in range(i) if block[i] == block[j] and (max(side[k] for k in range(n) if block[k] == block[i]) == 0 or side[i] != side[j]) and comp[i] != comp[j]]
+    want = {(j, i) for j, i in met if 7 * len(np.intersect1d(sets[i], sets[j])) >= 3 * (len(sets[i]) + len(sets[j]))}
+    found = tree_pairs(sets, block, side, comp)
+    assert want and want <= found <= set(met)
+    assert len(found) < max(len(met) / 2, 2 * len(want))
+
+
+def test_spanning_pairs_join_what_all_pairs_join():
+    sets = token_sets(6)
+    block, zero = [i % 5 for i in range(len(sets))], [0] * len(sets)
+    every, few = tree_pairs(sets, block, zero, range(len(sets))), tree_pairs(sets, block, zero, range(len(sets)), True)
+
+    def groups(pairs):
+        up = list(range(len(sets)))
+        for a, b in sorted(pairs):
+            x, y = up[a], up[b]
+            up = [min(x, y) if u in (x, y) else u for u in up]
+        return up
+
+    assert few <= every and groups(few) == groups(every) and len(few) < len(sets) * 2
+
+
+def test_size_classes_keep_similar_sizes_near():
+    for n in range(1, 3000):
+        assert signature_tree.size_class(4 * n // 3) - signature_tree.size_class(n) <= 1
+    assert all(8 * len(signature_tree.signature(np.arange(n, dtype=np.uint64))) >= min(n, 65536) for n in (1, 7, 300, 40_000, 90_000))
+
+
+@pytest.mark.parametrize("chunk", [1024, 4])
+def test_every_link_comes_from_the_trees(spark, monkeypatch, chunk):
+    """With the trees of one round silenced the other finds every component; with those of both, none is found."""
+    monkeypatch.setattr(ngram_join, "CHUNK", chunk)
+    whole = ngram_join.candidates
+    rng = random.Random(3)
+    base = [" ".join(f"w{rng.randint(0, 500)}" for _ in range(60)) for _ in range(6)]
+    rows = [(i, base[i % 6] + "".join(f" x{i}y{k}" for k in range(i % 7))) for i in range(90)]
+    docs = frame(spark, rows)
+
+    def components(*rounds):
+        def some(texts, hot, first_round):
+            found = whole(texts, hot, first_round)
+            return found if (1 if first_round else 2) in rounds else found.limit(0)
+
+        monkeypatch.setattr(ngram_join, "candidates", some)
+        return sorted((r.doc_id, r.component_id) for r in ngram_join.link_documents(docs).collect())
+
+    both, second, neither = components(1, 2), components(2), components()
+    assert both == second and len({c for _, c in both}) == 6
+    assert len({c for _, c in neither}) == len({t for _, t in rows})
 
 
 @pytest.mark.parametrize("hot", [False, True])

@@ -5,13 +5,18 @@ with a smaller doc_id; every word that a repeated window covers is removed. Wind
 
 Each window has a minimiser, the smallest hash among its runs of ``grain`` words. Consecutive windows with one minimiser
 make a super-k-mer, which travels as one packed string (its words, joined by blanks) to the bucket of that minimiser, so
-that equal windows always meet. Buckets are spread over partitions; a task ships one compressed block for each partition
-and piece of text. There, windows are sorted by a 64-bit hash, and equal hashes are compared word by word, which makes
-counting exact.
+that equal windows always meet. There, windows are sorted by a 64-bit hash, and equal hashes are compared word by word,
+which makes counting exact.
 
-Minimisers with ``HOT_ROWS`` super-k-mers or more (found by lossy counting over all texts) would overload their bucket, which
-one task holds. Their windows travel singly and are counted by a plain aggregation on the window's words, which combines
-before the shuffle, and whose join splits skewed keys. No window is dropped or sampled on either way.
+A survey of all texts first counts minimisers: tasks send sorted 44-bit values, about four bytes for a super-k-mer, to slices
+of the value range. What occurs once holds no repeated window and stays at home. The values that occur more often mark
+cells of a bitmap of a fixed size (2 ** ``CELL_BITS`` bits at most), which every task gets; a cell that several values share
+costs some extra packing, never a result. Buckets are spread over partitions; a task gathers ``SHIP_BYTES`` of text before it
+packs one compressed block for each partition, so that blocks stay large however many partitions there are.
+
+Minimisers with ``HOT_ROWS`` super-k-mers or more (twice, four times, ... as many, if more than ``HOT_MOST`` of them are known)
+would overload their bucket, which one task holds. Their windows travel singly and are counted by a plain aggregation on the
+window's words, which combines before the shuffle, and whose join splits skewed keys. No window is dropped or sampled.
 
 Null, empty and short texts have no windows; null text has no words. A null doc_id has no order: such documents neither
 remove nor lose words. Rows that repeat a doc_id are documents of their own that don't remove each other's words. Extra
@@ -30,13 +35,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cascata.llm.common import bounded_batches
-from cascata.llm.tokens import Frequent, Words, is_in, pieces, window_hashes
+from cascata.llm.tokens import Words, is_in, mix64, pieces, window_hashes
 from cascata.session import materialize
 
 WINDOW = 13
 GRAIN = 4
-HOT_ROWS, HOT_SHARE = 20_000, 1e-6
+HOT_ROWS, HOT_MOST = 20_000, 1 << 20
 BLOCK_BYTES = 6 << 20
+SHIP_BYTES = 32 << 20
+CELL_BITS = 28
+_VALUE_BITS, _SLICE_BITS = 44, 10
+_SURVEY_KEYS = 2_000_000
 _PIECE = 4 << 20
 
 
@@ -66,20 +75,103 @@ def text_tag(raw: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return np.array([int.from_bytes(hashlib.blake2b(raw[a : b - 1].tobytes(), digest_size=4).digest(), "little") for a, b in zip(bounds[:-1], bounds[1:])], np.int64)
 
 
+def _value(keys: np.ndarray) -> np.ndarray:
+    """Minimisers as evenly spread 44-bit values."""
+    return mix64(keys) >> np.uint64(64 - _VALUE_BITS)
+
+
 def _survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Frequent minimisers (key, n), and under a null key the number of super-k-mers and of bytes they take."""
-    schema = pa.schema([("key", pa.int64()), ("n", pa.int64()), ("bytes", pa.int64())])
-    frequent, total, size = Frequent(least=3, keep=200_000, gather=2_000_000), 0, 0
+    """Sorted values by slice, as compressed differences; under a null slice the bytes that the super-k-mers take."""
+    schema = pa.schema([("slice", pa.int32()), ("values", pa.binary()), ("bytes", pa.int64())])
+    held: list[np.ndarray] = []
+    size = 0
+
+    def flush() -> Iterator[pa.RecordBatch]:
+        values = np.sort(np.concatenate(held))
+        held.clear()
+        edges = np.searchsorted(values, np.arange((1 << _SLICE_BITS) + 1, dtype=np.uint64) << np.uint64(_VALUE_BITS - _SLICE_BITS))
+        filled = np.flatnonzero(np.diff(edges))
+        blobs = []
+        for i in filled.tolist():
+            mine = values[edges[i] : edges[i + 1]]
+            steps = np.diff(mine, prepend=np.uint64(i << (_VALUE_BITS - _SLICE_BITS)))
+            planes = steps.view(np.uint8).reshape(-1, 8)[:, :5].T  # a slice spans 2 ** 34 values
+            blobs.append(zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(planes).tobytes()))
+        yield pa.RecordBatch.from_arrays([pa.array(filled.astype(np.int32)), pa.array(blobs, pa.binary()), pa.nulls(len(filled), pa.int64())], schema=schema)
+
     for batch in batches:
         for _, _, raw, bounds in pieces(batch.column("text"), _PIECE):
             words = Words(raw, bounds)
             _, first, count, key = super_kmers(words)
             if len(first):
-                frequent.add(key)
-                total += len(first)
+                held.append(_value(key))
                 size += int((words.ends[first + count + WINDOW - 2] - words.starts[first]).sum())
-    keys, counts = frequent.items()
-    yield pa.RecordBatch.from_arrays([pa.array([*keys.view(np.int64).tolist(), None], pa.int64()), pa.array([*counts.tolist(), total]), pa.array([*[0] * len(keys), size])], schema=schema)
+            if sum(map(len, held)) >= _SURVEY_KEYS:
+                yield from flush()
+    if held:
+        yield from flush()
+    yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int32()), pa.nulls(1, pa.binary()), pa.array([size])], schema=schema)
+
+
+def _repeated(table: pa.Table) -> pa.Table:
+    """Of one slice: its cells of values that occur more than once, the values that many super-k-mers have, and totals."""
+    parts = []
+    for blob in table["values"]:
+        planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob.as_py()), np.uint8).reshape(5, -1)
+        steps = np.zeros((planes.shape[1], 8), np.uint8)
+        steps[:, :5] = planes.T
+        parts.append(np.cumsum(steps.view(np.uint64)[:, 0], dtype=np.uint64))
+    low = int(table["slice"][0].as_py())
+    values, n = np.unique(np.concatenate(parts), return_counts=True)
+    values += np.uint64(low << (_VALUE_BITS - _SLICE_BITS))
+    cells = np.zeros(1 << (CELL_BITS - _SLICE_BITS), np.uint8)
+    cells[((values[n > 1] >> np.uint64(_VALUE_BITS - CELL_BITS)) & np.uint64(len(cells) - 1)).astype(np.int64)] = 1
+    bits = zstandard.ZstdCompressor(level=1).compress(np.packbits(cells).tobytes())
+    hot = n >= HOT_ROWS
+    return pa.table({"slice": pa.array([low], pa.int32()), "cells": pa.array([bits], pa.binary()), "hot": pa.array([values[hot].tobytes()], pa.binary()), "n_hot": pa.array([n[hot].astype(np.int64).tobytes()], pa.binary()), "n": pa.array([int(n.sum())]), "n_repeated": pa.array([int(n[n > 1].sum())])})
+
+
+class Known:
+    """What the survey says of minimisers: which occur more than once (or share a cell with such), and which are hot."""
+
+    def __init__(self, bits: int, cells: np.ndarray, hot: np.ndarray):
+        self.bits, self.cells, self.hot = bits, cells, hot
+
+    def split(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(repeated but not hot, hot) as masks."""
+        values = _value(keys)
+        cell = values >> np.uint64(_VALUE_BITS - self.bits)
+        hot = is_in(values, self.hot)
+        return (self.cells[cell >> np.uint64(3)] >> (np.uint8(7) - (cell & np.uint64(7)).astype(np.uint8)) & 1).astype(bool) & ~hot, hot
+
+
+def survey(docs: DataFrame) -> tuple[Known, int]:
+    """The minimisers of ``docs`` (text), and about how many bytes the super-k-mers under repeated ones take.
+
+    The driver gets 2 ** CELL_BITS bits and HOT_MOST values at most, whatever the corpus.
+    """
+    seen = materialize(docs.select("text").mapInArrow(_survey, "slice int, values binary, bytes long"), "substr-survey")
+    total = seen.where("slice is null").agg(F.sum("bytes")).first()[0] or 0
+    schema = "slice int, cells binary, hot binary, n_hot binary, n long, n_repeated long"
+    slices = materialize(seen.where("slice is not null").select("slice", "values").groupBy("slice").applyInArrow(_repeated, schema), "substr-slices")
+    n, repeated = slices.agg(F.sum("n"), F.sum("n_repeated")).first()
+    least, bits = HOT_ROWS, min(CELL_BITS, max(_SLICE_BITS + 3, (8 * (n or 1)).bit_length()))
+    cells = np.zeros(1 << (bits - 3), np.uint8)
+    hot, counts = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    width = len(cells) >> _SLICE_BITS
+    for r in slices.select("slice", "cells", "hot", "n_hot").toLocalIterator():
+        mine = np.unpackbits(np.frombuffer(zstandard.ZstdDecompressor().decompress(bytes(r["cells"])), np.uint8))
+        mine = np.packbits(mine.reshape(-1, 1 << (CELL_BITS - bits)).any(axis=1))
+        cells[r["slice"] * width : (r["slice"] + 1) * width] = mine
+        hot.append(np.frombuffer(bytes(r["hot"]), np.uint64))
+        counts.append(np.frombuffer(bytes(r["n_hot"]), np.int64))
+        if sum(map(len, hot)) > HOT_MOST:
+            hot, counts = [np.concatenate(hot)], [np.concatenate(counts)]
+            while (counts[0] >= least).sum() > HOT_MOST:
+                least *= 2
+            hot, counts = [hot[0][counts[0] >= least]], [counts[0][counts[0] >= least]]
+    hot, counts = np.concatenate(hot), np.concatenate(counts)
+    return Known(bits, cells, np.sort(hot[counts >= least])), int(total * (repeated or 0) / (n or 1))
 
 
 def _pack(ids, tags, starts, sizes, data: bytes) -> bytes:
@@ -97,10 +189,24 @@ def _unpack(block: bytes):
     return ids, tags, starts, sizes, data[8 + 20 * n :]
 
 
-def _shipped(hot_keys, parts: int):
+def _shipped(shared, parts: int):
+    schema = pa.schema([("part", pa.int32()), ("block", pa.binary())])
+
+    def blocks(held: list[tuple]) -> pa.RecordBatch:
+        """One block for each partition, of all that was gathered."""
+        part, ids, tags, starts, sizes = (np.concatenate([h[k] for h in held]) for k in range(5))
+        strings = [x for h in held for x in h[5]]
+        order = np.argsort(part, kind="stable")
+        cut = np.flatnonzero(np.concatenate(([True], np.diff(part[order]) != 0)))
+        made = []
+        for x, y in zip(cut.tolist(), [*cut[1:].tolist(), len(order)]):
+            at = order[x:y]
+            made.append(_pack(ids[at], tags[at], starts[at], sizes[at], b"".join([strings[i] for i in at.tolist()])))
+        return pa.RecordBatch.from_arrays([pa.array(part[order][cut].astype(np.int32)), pa.array(made, pa.binary())], schema=schema)
+
     def ship(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("part", pa.int32()), ("block", pa.binary())])
-        hot = hot_keys.value
+        known_keys = shared.value
+        held, gathered = [], 0
         for batch in batches:
             ids = batch.column("doc_id")
             known = np.asarray(ids.is_valid())
@@ -108,22 +214,21 @@ def _shipped(hot_keys, parts: int):
             for a, b, raw, bounds in pieces(batch.column("text"), _PIECE):
                 words = Words(raw, bounds)
                 owner, first, count, key = super_kmers(words)
-                keep = known[a:b][owner] & ~is_in(key, hot)
+                keep = known[a:b][owner] & known_keys.split(key)[0]
                 owner, first, count, key = owner[keep], first[keep], count[keep], key[keep]
                 if not len(first):
                     continue
-                tags = text_tag(raw, bounds)[owner]
-                part = ((key >> np.uint64(20)) % np.uint64(parts)).astype(np.int64)
-                order = np.argsort(part, kind="stable")
-                owner, first, count, part, tags = owner[order], first[order], count[order], part[order], tags[order]
                 begin, end = words.starts[first], words.ends[first + count + WINDOW - 2] + 1  # with the blank behind
                 text = words.data.tobytes()
-                cut = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1])))
-                blocks = []
-                for x, y in zip(cut.tolist(), [*cut[1:].tolist(), len(part)]):
-                    joined = b"".join([text[s:e] for s, e in zip(begin[x:y].tolist(), end[x:y].tolist())])
-                    blocks.append(_pack(ids[a:b][owner[x:y]], tags[x:y], first[x:y] - words.first[owner[x:y]], end[x:y] - begin[x:y], joined))
-                yield pa.RecordBatch.from_arrays([pa.array(part[cut].astype(np.int32)), pa.array(blocks, pa.binary())], schema=schema)
+                strings = [text[s:e] for s, e in zip(begin.tolist(), end.tolist())]
+                part = ((key >> np.uint64(20)) % np.uint64(parts)).astype(np.int64)
+                held.append((part, ids[a:b][owner], text_tag(raw, bounds)[owner], first - words.first[owner], end - begin, strings))
+                gathered += int((end - begin).sum())
+                if gathered >= SHIP_BYTES:
+                    yield blocks(held)
+                    held, gathered = [], 0
+        if held:
+            yield blocks(held)
 
     return ship
 
@@ -191,12 +296,12 @@ def _counted(table: pa.Table) -> pa.Table:
     return _spans(ids[of], tags[of], starts[of].astype(np.int64) + at - words.first[of])
 
 
-def _hot_windows(hot_keys):
+def _hot_windows(shared):
     """Windows under hot minimisers, one row each."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("words", pa.string()), ("doc_id", pa.int64()), ("tag", pa.int64()), ("start", pa.int64())])
-        hot = hot_keys.value
+        known_keys = shared.value
         for batch in batches:
             ids = batch.column("doc_id")
             known = np.asarray(ids.is_valid())
@@ -204,7 +309,7 @@ def _hot_windows(hot_keys):
             for a, b, raw, bounds in pieces(batch.column("text"), _PIECE):
                 words = Words(raw, bounds)
                 owner, first, count, key = super_kmers(words)
-                keep = known[a:b][owner] & is_in(key, hot)
+                keep = known[a:b][owner] & known_keys.split(key)[1]
                 if not keep.any():
                     continue
                 owner, first, count = owner[keep], first[keep], count[keep]
@@ -222,16 +327,13 @@ def repeated_spans(documents: DataFrame) -> DataFrame:
     spark = documents.sparkSession
     bounded_batches(spark)
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    seen = materialize(docs.select("text").mapInArrow(_survey, "key long, n long, bytes long"), "substr-survey")
-    total, size = seen.where("key is null").agg(F.sum("n"), F.sum("bytes")).first()
-    often = seen.where("key is not null").groupBy("key").agg(F.sum("n").alias("n")).where((F.col("n") >= HOT_ROWS) & (F.col("n") >= HOT_SHARE * (total or 0)))
-    hot = np.sort(np.asarray(often.select("key").toArrow()["key"]).view(np.uint64))  # at most 1 / HOT_SHARE keys
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-(size or 0) // BLOCK_BYTES))
-    keys = spark.sparkContext.broadcast(hot)
-    shipped = docs.mapInArrow(_shipped(keys, parts), "part int, block binary")
+    known, size = survey(docs)
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // BLOCK_BYTES))
+    shared = spark.sparkContext.broadcast(known)
+    shipped = docs.mapInArrow(_shipped(shared, parts), "part int, block binary")
     spans = shipped.groupBy("part").applyInArrow(_counted, "doc_id long, tag long, start long, size long")
-    if len(hot):
-        windows = materialize(docs.mapInArrow(_hot_windows(keys), "words string, doc_id long, tag long, start long"), "substr-hot")
+    if len(known.hot):
+        windows = materialize(docs.mapInArrow(_hot_windows(shared), "words string, doc_id long, tag long, start long"), "substr-hot")
         first = windows.groupBy("words").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("words", "first")
         again = windows.join(first, "words").where("doc_id > first")
         spans = spans.unionByName(again.select("doc_id", "tag", "start", F.lit(WINDOW).cast("long").alias("size")))

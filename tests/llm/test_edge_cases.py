@@ -142,7 +142,6 @@ def test_every_link_comes_from_the_trees(spark, monkeypatch, chunk):
 @pytest.mark.parametrize("hot", [False, True])
 def test_substring_dedup_matches_brute_force(spark, monkeypatch, hot):
     if hot:  # every minimiser is sent the way of frequent ones
-        monkeypatch.setattr(substring_dedup, "HOT_SHARE", 0.0)
         monkeypatch.setattr(substring_dedup, "HOT_ROWS", 1)
     rows = texts(2)
     words = [WORD.findall(t or "") for _, t in rows]
@@ -161,6 +160,19 @@ def test_substring_dedup_matches_brute_force(spark, monkeypatch, hot):
     assert substring_dedup.remove_repeats(frame(spark, [])).count() == 0
 
 
+def test_survey_knows_every_repeated_minimiser(spark, monkeypatch):
+    monkeypatch.setattr(substring_dedup, "HOT_ROWS", 3)
+    rng = random.Random(12)
+    rows = [(" ".join(f"w{rng.randint(0, 6)}" for _ in range(60)),) for _ in range(50)] + [(None,), ("",), ("a b",)]
+    known, size = substring_dedup.survey(spark.createDataFrame(rows, "text string").repartition(4))
+    raw = np.frombuffer("".join(f"{t or ''} " for t, in rows).encode(), np.uint8)
+    bounds = np.concatenate(([0], np.cumsum([len(t or "") + 1 for t, in rows])))
+    keys, n = np.unique(substring_dedup.super_kmers(substring_dedup.Words(raw, bounds))[3], return_counts=True)
+    repeated, hot = known.split(keys)
+    assert set(keys[n >= 3].tolist()) <= set(keys[hot].tolist()) and not hot[n < 3].any()
+    assert (repeated | hot)[n > 1].all() and not (repeated & hot).any() and (repeated | hot)[n == 1].mean() < 0.3 and size > 0
+
+
 def brute_decontamination(rows, items):
     known = {}
     for item, t in items:

@@ -113,22 +113,25 @@ def _survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int32()), pa.nulls(1, pa.binary()), pa.array([size])], schema=schema)
 
 
-def _repeated(table: pa.Table) -> pa.Table:
-    """Of one slice: its cells of values that occur more than once, the values that many super-k-mers have, and totals."""
-    parts = []
-    for blob in table["values"]:
-        planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob.as_py()), np.uint8).reshape(5, -1)
-        steps = np.zeros((planes.shape[1], 8), np.uint8)
-        steps[:, :5] = planes.T
-        parts.append(np.cumsum(steps.view(np.uint64)[:, 0], dtype=np.uint64))
-    low = int(table["slice"][0].as_py())
-    values, n = np.unique(np.concatenate(parts), return_counts=True)
-    values += np.uint64(low << (_VALUE_BITS - _SLICE_BITS))
-    cells = np.zeros(1 << (CELL_BITS - _SLICE_BITS), np.uint8)
-    cells[((values[n > 1] >> np.uint64(_VALUE_BITS - CELL_BITS)) & np.uint64(len(cells) - 1)).astype(np.int64)] = 1
-    bits = zstandard.ZstdCompressor(level=1).compress(np.packbits(cells).tobytes())
-    hot = n >= HOT_ROWS
-    return pa.table({"slice": pa.array([low], pa.int32()), "cells": pa.array([bits], pa.binary()), "hot": pa.array([values[hot].tobytes()], pa.binary()), "n_hot": pa.array([n[hot].astype(np.int64).tobytes()], pa.binary()), "n": pa.array([int(n.sum())]), "n_repeated": pa.array([int(n[n > 1].sum())])})
+def _repeated(hot_rows: int):
+    def counted(table: pa.Table) -> pa.Table:
+        """Of one slice: its cells of values that occur more than once, the values that many super-k-mers have, and totals."""
+        parts = []
+        for blob in table["values"]:
+            planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob.as_py()), np.uint8).reshape(5, -1)
+            steps = np.zeros((planes.shape[1], 8), np.uint8)
+            steps[:, :5] = planes.T
+            parts.append(np.cumsum(steps.view(np.uint64)[:, 0], dtype=np.uint64))
+        low = int(table["slice"][0].as_py())
+        values, n = np.unique(np.concatenate(parts), return_counts=True)
+        values += np.uint64(low << (_VALUE_BITS - _SLICE_BITS))
+        cells = np.zeros(1 << (CELL_BITS - _SLICE_BITS), np.uint8)
+        cells[((values[n > 1] >> np.uint64(_VALUE_BITS - CELL_BITS)) & np.uint64(len(cells) - 1)).astype(np.int64)] = 1
+        bits = zstandard.ZstdCompressor(level=1).compress(np.packbits(cells).tobytes())
+        hot = n >= hot_rows
+        return pa.table({"slice": pa.array([low], pa.int32()), "cells": pa.array([bits], pa.binary()), "hot": pa.array([values[hot].tobytes()], pa.binary()), "n_hot": pa.array([n[hot].astype(np.int64).tobytes()], pa.binary()), "n": pa.array([int(n.sum())]), "n_repeated": pa.array([int(n[n > 1].sum())])})
+
+    return counted
 
 
 class Known:
@@ -153,7 +156,7 @@ def survey(docs: DataFrame) -> tuple[Known, int]:
     seen = materialize(docs.select("text").mapInArrow(_survey, "slice int, values binary, bytes long"), "substr-survey")
     total = seen.where("slice is null").agg(F.sum("bytes")).first()[0] or 0
     schema = "slice int, cells binary, hot binary, n_hot binary, n long, n_repeated long"
-    slices = materialize(seen.where("slice is not null").select("slice", "values").groupBy("slice").applyInArrow(_repeated, schema), "substr-slices")
+    slices = materialize(seen.where("slice is not null").select("slice", "values").groupBy("slice").applyInArrow(_repeated(HOT_ROWS), schema), "substr-slices")
     n, repeated = slices.agg(F.sum("n"), F.sum("n_repeated")).first()
     least, bits = HOT_ROWS, min(CELL_BITS, max(_SLICE_BITS + 3, (8 * (n or 1)).bit_length()))
     cells = np.zeros(1 << (bits - 3), np.uint8)

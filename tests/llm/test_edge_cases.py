@@ -163,7 +163,7 @@ def test_substring_dedup_matches_brute_force(spark, monkeypatch, hot):
 def test_survey_knows_every_repeated_minimiser(spark, monkeypatch):
     monkeypatch.setattr(substring_dedup, "HOT_ROWS", 3)
     rng = random.Random(12)
-    rows = [(" ".join(f"w{rng.randint(0, 6)}" for _ in range(60)),) for _ in range(50)] + [(None,), ("",), ("a b",)]
+    rows = [(" ".join(f"w{rng.randint(0, 7)}" for _ in range(60)),) for _ in range(90)] + [(None,), ("",), ("a b",)]
     known, size = substring_dedup.survey(spark.createDataFrame(rows, "text string").repartition(4))
     raw = np.frombuffer("".join(f"{t or ''} " for t, in rows).encode(), np.uint8)
     bounds = np.concatenate(([0], np.cumsum([len(t or "") + 1 for t, in rows])))

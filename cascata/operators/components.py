@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cascata.session import materialize
+from cascata.session import materialize, passing
 
 
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 100) -> DataFrame:
@@ -16,22 +16,26 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
     list never has more rows than at first; a hot node's rows are combined before the shuffle. Each round is written to
     the shared folder, and nothing is collected but a count. Self-loops and null ends only add their node.
     """
+    spark = edges.sparkSession
     pairs = edges.select(F.col(src).alias("a"), F.col(dst).alias("b"))
     nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).where("node is not null").distinct()
-    links = materialize(pairs.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "cc")
-    before = None
-    for _ in range(max_rounds):
-        both = links.union(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u")
-        small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").union(low.select("u", F.col("m").alias("v"))).distinct()
-        links = materialize(small, "cc")
-        state = tuple(links.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.countDistinct("u")).first())
-        if state == before or state[0] == 0:
-            break
-        before = state
-    else:
-        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
-    return nodes.join(links, nodes.node == links.u, "left").select("node", F.coalesce("v", "node").alias("component"))
+    links = pairs.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
+    with passing(spark) as keep:
+        links = materialize(links, "cc")
+        before = None
+        for _ in range(max_rounds):
+            both = links.union(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
+            low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+            large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+            low = large.groupBy("u").agg(F.min("v").alias("m"))
+            small = large.join(low, "u")
+            small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").union(low.select("u", F.col("m").alias("v"))).distinct()
+            links = materialize(small, "cc")
+            state = tuple(links.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.bit_xor(F.xxhash64("v", "u"))).first())
+            if state == before or state[0] == 0:
+                break
+            before = state
+        else:
+            raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+        stars = keep(materialize(links, "cc"))
+    return nodes.join(stars, nodes.node == stars.u, "left").select("node", F.coalesce("v", "node").alias("component"))

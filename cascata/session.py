@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -51,24 +53,48 @@ def scratch(spark: SparkSession) -> str:
     if not base:
         base = spark.conf.get("cascata.scratch", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="cascata-", dir=os.environ.get("TMPDIR", "/tmp"))
         spark.conf.set("cascata.scratch", base)
     return base.rstrip("/")
 
 
+_passing: list[list[str]] = []
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back: cuts lineage and survives lost executors."""
     spark = df.sparkSession
     visible_to_workers(spark)
     path = f"{scratch(spark)}/cascata/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if _passing:
+        _passing[-1].append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def released(df: DataFrame) -> None:
-    """Delete the files behind a materialised frame, once nothing reads them any more."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    for name in df.inputFiles()[:1]:
-        path = jvm.org.apache.hadoop.fs.Path(name).getParent()
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+@contextmanager
+def passing(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Within this block, written tables last until its end, but for those that the yielded function is given at once.
+
+    ``kept = keep(materialize(...))`` outlives the block (and lasts as long as the block around it, if there is one).
+    """
+    made: list[str] = []
+    around = _passing[-1] if _passing else None
+    _passing.append(made)
+
+    def keep(df: DataFrame) -> DataFrame:
+        path = made.pop()
+        if around is not None:
+            around.append(path)
+        return df
+
+    try:
+        yield keep
+    finally:
+        _passing.pop()
+        jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+        for name in made:
+            path = jvm.org.apache.hadoop.fs.Path(name)
+            path.getFileSystem(conf).delete(path, True)

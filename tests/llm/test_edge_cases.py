@@ -270,6 +270,39 @@ def test_knapsack_is_exact_where_it_can_be(seed):
         assert int((take * sizes).sum()) == max(reach)
 
 
+@pytest.mark.parametrize("seed", range(8))
+def test_knapsack_takes_back_where_that_fits(monkeypatch, seed):
+    monkeypatch.setattr(mixing, "WHOLE", 0)
+    rng = np.random.default_rng(seed)
+    sizes = np.unique(rng.integers(1, 90, 10))
+    counts = rng.integers(1, 12, len(sizes))
+    for budget in rng.integers(0, int((sizes * counts).sum()) + 5, 20).tolist():
+        take = mixing.fit_counts(sizes, counts, budget, reserve=2000)
+        reach = {0}
+        for s, n in zip(sizes.tolist(), counts.tolist()):
+            reach = {r + k * s for r in reach for k in range(n + 1) if r + k * s <= budget}
+        assert (take >= 0).all() and (take <= counts).all() and int((take * sizes).sum()) == max(reach)
+
+
+def test_targets_of_many_sources_match_a_loop(spark):
+    rng = random.Random(2)
+    sizes = {f"s{i:03d}": rng.choice([0, 1, 3, rng.randint(1, 5000)]) for i in range(200)} | {None: 70}
+    order = sorted(sizes, key=lambda s: (s is None, s or ""))
+    weight = {s: (5, 2, 1)[i % 3] for i, s in enumerate(order)}
+    want, open_, budget = {}, set(order), 1.5 * sum(sizes.values())
+    while True:
+        level = budget / sum(weight[s] for s in open_)
+        full = {s for s in open_ if 2 * sizes[s] < level * weight[s]}
+        if not full:
+            break
+        want |= {s: 2.0 * sizes[s] for s in full}
+        budget -= sum(2 * sizes[s] for s in full)
+        open_ -= full
+    want |= {s: level * weight[s] for s in open_}
+    got = {r.source: r.target for r in mixing.targets(spark.createDataFrame(list(sizes.items()), "source string, source_size long").repartition(5)).collect()}
+    assert set(got) == set(want) and all(abs(got[s] - want[s]) < 1e-6 for s in want)
+
+
 def test_warc_round_trip(spark, tmp_path):
     big = "<p>é\r\n\r\nWARC/1.1\r\nWARC-Type: response\r\n\r\n" + "x" * 120
     rows = [(5, "http://a.example/x?y#z", big), (2, "http://b.example/", big), (9, None, big), (3, "http://c.example/a\r\nb", "short"), (4, "u", "short"), (6, "v", None), (7, "w", ""), (None, "n", big), (2, "http://b.example/", big)]

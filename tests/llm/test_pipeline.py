@@ -4,6 +4,8 @@ import random
 import re
 from collections import Counter
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -99,3 +101,36 @@ def test_rows_of_one_or_no_doc_id_stand_by_their_texts(spark, tmp_path):
     two = spark.createDataFrame([(3, b, "src", 1), (3, c + " x", "src", 1), (None, a + " x y", "src", 1), (None, d + " x y z", "src", 1)], docs.schema)
     mixed = corpus_pipeline.mix_sources(spark, two, "").collect()
     assert all(r["size"] == len(r.text.split()) for r in mixed) and len({(r.text, r.copy) for r in mixed}) == len(mixed)
+
+
+CLASHES = ["size", "target", "source_size", "copies", "copy", "taken", "_id", "_key", "_other", "_again", "_text", "_bp", "_bp_host", "_kept", "_bad_id", "_bad_key", "_spans", "_file", "_row", "_hash", "lang_pred", "score", "clean_text", "lines_dropped", "key", "n", "words", "text_key"]
+
+
+def test_stages_stand_clashing_names_long_texts_and_repeated_rows(spark, tmp_path):
+    rng = random.Random(3)
+    text = lambda k: " ".join(rng.choice("lorem ipsum dolor sit amet elitr sed diam".split()) + str(rng.randint(0, 99)) for _ in range(k))
+    rows = [(i, text(30), "xx", f"src{i % 2}", 1) for i in range(40)] + [(50, text(30_000), "xx", "src0", 1)]
+    rows += [(None, None, None, None, None), (51, "", "xx", None, 0), rows[3], rows[3], (None, text(20), "xx", "src1", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    docs = docs.withColumns({c: F.lit("mine") for c in CLASHES})
+    spark.createDataFrame([(1, rows[7][1])], "item_id long, text string").write.parquet(f"file://{tmp_path}/benchmark.parquet")
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, f"file://{tmp_path}")
+        got = out.collect()
+        assert set(docs.columns) <= set(out.columns) and all(r[c] == "mine" for r in got for c in CLASHES), name
+        if name != "mixture":
+            assert out.columns == docs.columns
+        n = Counter((r.doc_id, r.text) for r in got)
+        if name == "language_id":
+            assert len(got) == len(rows) - 2
+        if name == "ngram_jaccard":
+            assert len(got) == len(rows) - 2 and n[(3, rows[3][1])] == 1
+        if name == "decontamination":
+            assert len(got) == len(rows) - 1 and (7, rows[7][1]) not in n
+        if name == "mixture":
+            assert n[(3, rows[3][1])] <= 6 and max(v for k, v in n.items() if k != (3, rows[3][1])) <= 2 and "_target" in out.columns
+
+
+def test_mixing_rows_without_doc_id_takes_none_twice_too_often(spark):
+    docs = spark.createDataFrame([(None, "a b c d e f g h", "s", 1)] * 6, "doc_id long, text string, source string, n_chars long").repartition(2)
+    assert len(corpus_pipeline.mix_sources(spark, docs, "").collect()) == 9

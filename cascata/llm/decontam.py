@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cascata.llm.common import attach, fits_broadcast, normal_words
+from cascata.llm.common import attach, fits_broadcast, fresh, normal_words
 from cascata.session import materialize
 
 WINDOW = 10
@@ -114,20 +114,21 @@ def report(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW) ->
     ).withColumn("contaminated", F.col("n_hit") > 0)
 
 
-def decontaminate(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, remove: str = "documents") -> DataFrame:
+def decontaminate(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, remove: str = "documents", cleaned: str = "clean_text") -> DataFrame:
     """``documents`` without what occurs in the benchmark.
 
     remove="documents" drops every row whose own text has a hit. remove="spans" keeps all rows and cuts the hit words out of the
-    normalised text, which it adds as ``clean_text``. Rows are matched by doc_id and text, so repeated rows share a fate.
+    normalised text, which it adds as ``cleaned``. Rows are matched by doc_id and text, so repeated rows share a fate.
     """
     if remove not in ("documents", "spans"):
         raise ValueError(f"remove must be 'documents' or 'spans', not {remove!r}")
     found = hits(documents.select("doc_id", "text"), benchmark, window).where(F.size("spans") > 0)
+    bad_id, bad_key, spans_of = fresh(documents, "_bad_id", "_bad_key", "_spans")
     if remove == "documents":
-        bad = materialize(found.select(F.col("doc_id").alias("_bad_id"), F.col("text_key").alias("_bad_key")).distinct(), "decontam-bad")
-        return attach(documents, bad, "doc_id", "_bad_id", "left_anti", null_safe=True, also=F.xxhash64("text") == F.col("_bad_key"))
-    spans = found.groupBy(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).agg(F.first("spans").alias("_spans"))
-    joined = documents.join(spans, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_key")), "left")
+        bad = materialize(found.select(F.col("doc_id").alias(bad_id), F.col("text_key").alias(bad_key)).distinct(), "decontam-bad")
+        return attach(documents, bad, "doc_id", bad_id, "left_anti", null_safe=True, also=F.xxhash64("text") == F.col(bad_key))
+    spans = found.groupBy(F.col("doc_id").alias(bad_id), F.col("text_key").alias(bad_key)).agg(F.first("spans").alias(spans_of))
+    joined = documents.join(spans, F.col("doc_id").eqNullSafe(F.col(bad_id)) & (F.xxhash64("text") == F.col(bad_key)), "left")
     words = normal_words(F.col("text"))
-    kept = F.filter(F.transform(words, lambda w, i: F.when(F.exists("_spans", lambda s: (i >= s["start"]) & (i < s["end"])), F.lit(None)).otherwise(w)), lambda w: w.isNotNull())
-    return joined.withColumn("clean_text", F.array_join(kept, " ")).drop("_id", "_key", "_spans")
+    kept = F.filter(F.transform(words, lambda w, i: F.when(F.exists(spans_of, lambda s: (i >= s["start"]) & (i < s["end"])), F.lit(None)).otherwise(w)), lambda w: w.isNotNull())
+    return joined.withColumn(cleaned, F.array_join(kept, " ")).drop(bad_id, bad_key, spans_of)

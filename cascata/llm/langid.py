@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cascata.llm.common import bounded_batches
+from cascata.llm.common import bounded_batches, fresh
 from cascata.llm.tokens import pieces
 from cascata.session import materialize
 
@@ -209,23 +209,24 @@ def fit(documents: DataFrame, per_label: int = SAMPLE_PER_LABEL, most: int = SAM
     return model
 
 
-def annotate(documents: DataFrame, model: Model | None, carry: list[str]) -> DataFrame:
-    """The ``carry`` columns of ``documents`` with lang_pred and score, which replace columns of those names."""
+def annotate(documents: DataFrame, model: Model | None, carry: list[str], names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """The ``carry`` columns of ``documents`` with label and score as ``names``, which replace columns of those names."""
     shared = documents.sparkSession.sparkContext.broadcast(model)  # bins x labels weights, whatever the corpus
-    carry = [c for c in carry if c not in ("lang_pred", "score")]
+    carry = [c for c in carry if c.lower() not in names]
+    (text,) = fresh(documents, "_text")
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared.value
         for batch in batches:
-            named: list[tuple[str, float]] = []
-            for _, _, raw, bounds in pieces(batch.column("_text")):
-                named += [(UNKNOWN, 0.0) if f is None or known is None else known.predict(*f) for f in count_grams(raw, bounds)]
-            added = [pa.array([n for n, _ in named], pa.string()), pa.array([s for _, s in named], pa.float64())]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in carry), *added], names=[*carry, "lang_pred", "score"])
+            found: list[tuple[str, float]] = []
+            for _, _, raw, bounds in pieces(batch.column(text)):
+                found += [(UNKNOWN, 0.0) if f is None or known is None else known.predict(*f) for f in count_grams(raw, bounds)]
+            added = [pa.array([n for n, _ in found], pa.string()), pa.array([s for _, s in found], pa.float64())]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in carry), *added], names=[*carry, *names])
 
-    source = documents.select(*carry, F.col("text").alias("_text"))
+    source = documents.select(*[f"`{c}`" for c in carry], F.col("text").alias(text))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema if f.name in carry)
-    return source.mapInArrow(rows, f"{schema}, lang_pred string, score double")
+    return source.mapInArrow(rows, f"{schema}, `{names[0]}` string, `{names[1]}` double")
 
 
 def predict(documents: DataFrame, model: Model | None) -> DataFrame:

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cascata.llm.common import BROADCAST_BYTES
+from cascata.llm.common import BROADCAST_BYTES, fresh
 from cascata.session import materialize
 
 RATIO = 0.05
@@ -46,20 +46,21 @@ def boilerplate(pages: DataFrame, host: str, text: str, ratio: float = RATIO, mi
     )
 
 
-def drop_boilerplate(pages: DataFrame, host: str = "source", text: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
-    """``pages`` with boilerplate lines cut from ``text``; adds ``lines_dropped``."""
+def drop_boilerplate(pages: DataFrame, host: str = "source", text: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES, dropped: str = "lines_dropped") -> DataFrame:
+    """``pages`` with boilerplate lines cut from ``text``; adds the number of lines dropped as ``dropped``."""
     found = boilerplate(pages, host, text, ratio, min_pages)
-    per_host = found.groupBy(F.col("host").alias("_bp_host")).agg(F.collect_set("line_md5").alias("_bp"), F.sum(F.lit(64)).alias("_bytes"))
+    bp_host, bp, kept_lines = fresh(pages, "_bp_host", "_bp", "_kept")
+    per_host = found.groupBy(F.col("host").alias(bp_host)).agg(F.collect_set("line_md5").alias(bp), F.sum(F.lit(64)).alias("_bytes"))
     per_host = materialize(per_host, "lines-boilerplate")
     size = per_host.agg(F.sum("_bytes")).first()[0] or 0  # measured before anything is broadcast
     side = F.broadcast(per_host.drop("_bytes")) if size <= BROADCAST_BYTES else per_host.drop("_bytes")
-    joined = pages.join(side, F.col(host).eqNullSafe(F.col("_bp_host")), "left")
+    joined = pages.join(side, F.col(host).eqNullSafe(F.col(bp_host)), "left")
     lines = _lines(F.col(text))
-    kept = F.filter(lines, lambda x: ~F.array_contains(F.col("_bp"), _key(_trimmed(x))))
-    untouched = F.col("_bp").isNull() | F.col(text).isNull()
+    kept = F.filter(lines, lambda x: ~F.array_contains(F.col(bp), _key(_trimmed(x))))
+    untouched = F.col(bp).isNull() | F.col(text).isNull()
     return (
-        joined.withColumn("_kept", F.when(~untouched, kept))
-        .withColumn("lines_dropped", F.when(untouched, F.lit(0)).otherwise(F.size(lines) - F.size("_kept")).cast("long"))
-        .withColumn(text, F.when(untouched, F.col(text)).otherwise(F.array_join("_kept", "\n")))
-        .drop("_bp_host", "_bp", "_kept")
+        joined.withColumn(kept_lines, F.when(~untouched, kept))
+        .withColumn(dropped, F.when(untouched, F.lit(0)).otherwise(F.size(lines) - F.size(kept_lines)).cast("long"))
+        .withColumn(text, F.when(untouched, F.col(text)).otherwise(F.array_join(kept_lines, "\n")))
+        .drop(bp_host, bp, kept_lines)
     )

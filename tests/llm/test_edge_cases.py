@@ -1,8 +1,10 @@
 """Nulls, empty and long texts, ties, repeated rows, empty tables and extra columns with clashing names."""
 
 import hashlib
+import json
 import random
 import re
+import time
 
 import numpy as np
 import pyarrow as pa
@@ -344,6 +346,82 @@ def test_simple_tree_matching_aligns():
     assert html_extract.match(a, b)[0] == 4  # root, div, p, h2
 
 
+def brute_match(a, b):
+    """The size of the best alignment, by trying every choice of the last children."""
+    if a.label != b.label:
+        return 0
+
+    def best(x, y):
+        if not x or not y:
+            return 0
+        return max(best(x[:-1], y), best(x, y[:-1]), best(x[:-1], y[:-1]) + brute_match(x[-1], y[-1]))
+
+    return 1 + best(a.kids, b.kids)
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_tree_matching_is_best_and_keeps_order(seed):
+    rng = random.Random(seed)
+
+    def tree(depth):
+        kids = "".join(tree(depth - 1) for _ in range(rng.randint(0, 4))) if depth else ""
+        tag = rng.choice(["div", "section", "ul"])
+        return f"<{tag}>{kids}</{tag}>"
+
+    for _ in range(20):
+        a, b = (html_extract.slots([html_extract.parse(f"<body>{tree(3)}</body>")]) for _ in "ab")
+        size, pairs = html_extract.match(a, b)
+        assert size == brute_match(a, b) and size == 1 + sum(brute_match(x, y) for x, y in pairs)
+        places = [(a.kids.index(x), b.kids.index(y)) for x, y in pairs]
+        assert places == sorted(places) and len({i for i, _ in places}) == len({j for _, j in places}) == len(places)
+
+
+def test_template_texts_are_those_on_nearly_every_page():
+    rng = random.Random(4)
+    pages, lines = [], []
+    for i in range(20):
+        lines.append([t for t, share in (("always", 1.0), ("often", 0.5), ("rarely", 0.1)) if rng.random() < share])
+        pages.append("<body><div>" + "".join(f"<h6>{t}</h6>" for t in lines[-1]) + f"<p>story {i} of this page</p></div></body>")
+    wrapper = html_extract.induce(pages)
+    assert [html_extract.extract(p, wrapper) for p in pages] == ["\n".join([t for t in kept if t != "always"] + [f"story {i} of this page"]) for i, kept in enumerate(lines)]
+
+
+def test_html_of_any_depth_and_length():
+    deep = "<div>" * 100_000 + "<p>in</p>" + "</div>" * 100_000 + "<p>out</p>"
+    wrapper = html_extract.Slot.load(json.loads(json.dumps(html_extract.induce([deep, deep + " ", deep + "<p>more</p>"]).dump())))
+    assert html_extract.extract(deep, wrapper) == "in\nout"
+    nav = "<div>" * 400 + "a<nav>no<b>no</b></nav>b" + "</div>" * 400 + "c c c c"
+    assert html_extract.extract(nav, None) == "a\nb\nc c c c"
+    began = time.time()
+    assert html_extract.extract("x" + "<a " * 1_700_000, None).startswith("x<a <a")  # 5 MB that never close
+    assert html_extract.extract('<a "' * 500_000 + ">t", None) == "t"
+    html_extract.extract("<script></script " * 200_000, None)
+    long = "".join(f"<h2>{i}</h2><p>text {i}</p>" for i in range(40_000))
+    got = html_extract.extract(long, html_extract.induce([long, long + "<p>y</p>", "<p>z</p>" + long]))
+    assert got.startswith("0\ntext 0\n1\n") and got.endswith("39999\ntext 39999")
+    assert time.time() - began < 60
+
+
+def test_class_words_yield_to_the_pages(spark):
+    def page(i, name):
+        body = " ".join(f"word{(i * 7 + k) % 91}" for k in range(40))
+        return f"<body><div class='menu'>home {i}</div><article><h1>Title {i}</h1><div class='{name}'><p>{body}</p></div><p>end {i}</p><div class='share-buttons'>post it {i}</div><div class='comments'>{body} {body} said {i}</div></article></body>"
+
+    names = ["share-price", "search-results", "related-work", "notice", "widget", "plain"]
+    rows = [(n * 100 + i, f"http://h{n}.example/{i}", page(i, name)) for n, name in enumerate(names) for i in range(8)]
+    got = {r.page_id: r.text for r in html_extract.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for i in range(8):
+        assert len({got[n * 100 + i] for n in range(len(names))}) == 1
+        assert got[i].startswith(f"Title {i}\nword") and got[i].endswith(f"\nend {i}")
+
+
+def test_copies_of_a_page_leave_its_host_a_wrapper(spark):
+    page = lambda i: f"<body><div><h1>Title {i}</h1><p>Site slogan here</p><p>Unique text {i} about things</p></div></body>"
+    rows = [(i, f"http://h.example/{i}", page(min(i, 7))) for i in range(4000)]
+    got = {r.page_id: r.text for r in html_extract.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[i] == f"Title {min(i, 7)}\nUnique text {min(i, 7)} about things" for i in range(4000))
+
+
 def test_licenses(spark):
     mit = licenses.LICENSES["MIT"]
     varied = mit.replace("<year> <copyright holders>", "2019 Jane Doe").upper().replace("\n", " \n ").replace("SUBLICENSE", "SUB-LICENCE")

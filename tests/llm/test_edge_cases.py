@@ -481,3 +481,47 @@ def test_vector_search_recall_and_cases(spark):
     assert ann_aq.search(frame(spark, [], "vec_id long, embedding array<float>"), F.col("vec_id") % 20 == 0).count() == 0
     few = ann_aq.search(frame(spark, rows[:3], "vec_id long, embedding array<float>"), F.col("vec_id") % 20 == 0)
     assert sorted(r.vec_id for r in few.collect()) == [1, 2]
+
+
+def brute_neighbours(rows, is_query, k):
+    x = {i: np.asarray(v, float) for i, v in rows}
+    out = {}
+    for q in filter(is_query, x):
+        scored = sorted((-float(sum(a * b for a, b in zip(x[q], x[i]))), i) for i in x if i != q)
+        out[q] = [(i, -s) for s, i in scored[:k]]
+    return out
+
+
+@pytest.mark.parametrize("scale", [1.0, 1e25, 1e-30])
+def test_vector_search_with_copies_ties_and_any_magnitude(spark, scale):
+    rng = np.random.default_rng(3)
+    base = rng.normal(size=(8, 6)).round(3) * scale
+    rows = [(i, (base[0] if i % 2 else base[i // 2 % 8]).tolist()) for i in range(1000)]  # half of all rows are one vector
+    got = ann_aq.search(frame(spark, rows, "vec_id long, embedding array<double>").repartition(5), F.col("vec_id") % 100 == 0, 20, rerank=30).collect()
+    want = brute_neighbours(rows, lambda i: i % 100 == 0, 20)
+    for q, best in want.items():
+        mine = sorted((r["rank"], r.vec_id, r.score) for r in got if r.query_id == q)
+        assert [r for r, _, _ in mine] == list(range(1, 21))
+        assert [(i, s) for _, i, s in mine] == best
+
+
+def test_recall_on_fifty_thousand_vectors():
+    """Vectors without clusters, as hard as the given ones: the best 20 of 51,000 among 384 candidates."""
+    rng = np.random.default_rng(11)
+    x = rng.normal(size=(51_000, 64)).astype(np.float32)
+    directions, lengths = ann_aq.units(x)
+    books = ann_aq.train(directions[: ann_aq.SAMPLE])
+    codes = ann_aq.encode(directions, books)
+    norms = np.sqrt((ann_aq.reconstruct(codes, books) ** 2).sum(1))
+    at = np.arange(0, 51_000, 1020)
+    near = ann_aq.approximate(directions[at], lengths[at], codes, lengths, norms, books, False)
+    exact = x[at].astype(float) @ x.astype(float).T
+    near[np.arange(len(at)), at] = exact[np.arange(len(at)), at] = -np.inf
+    kept = ann_aq.cut(near, np.broadcast_to(np.arange(len(x)), near.shape), ann_aq.RERANK)[1]
+    best = np.argsort(-exact, axis=1)[:, :20]
+    assert np.mean([len(set(a) & set(b)) / 20 for a, b in zip(kept.tolist(), best.tolist())]) >= 0.9
+
+
+def test_cut_prefers_small_ids_among_equals():
+    scores, ids = np.array([[1.0, 2.0, 2.0, 2.0, 0.0], [5.0, 4.0, 3.0, 2.0, 1.0]]), np.array([[9, 8, 2, 5, 1]] * 2)
+    assert [sorted(r) for r in ann_aq.cut(scores, ids, 2)[1].tolist()] == [[2, 5], [8, 9]]

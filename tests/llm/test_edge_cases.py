@@ -5,6 +5,7 @@ import json
 import random
 import re
 import time
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -328,6 +329,44 @@ def test_warc_blocks_and_broken_archives(spark, tmp_path):
         list(warc.parse(b"WARC/1.1\r\nWARC-Type: x\r\nContent-Length: 9\r\n\r\nabc"))
 
 
+def test_warc_archives_are_members_of_bounded_size(spark, tmp_path, monkeypatch):
+    path = f"file://{tmp_path}/w"
+    monkeypatch.setattr(warc, "ARCHIVE_BYTES", 20_000)
+    noise = "".join(chr(0x4E00 + (i * i) % 9000) for i in range(6_000_000))  # 18 MB: the member doesn't end with a NUL by itself
+    rows = [(i, f"http://a.example/{i}", f"{i} " + noise[i * 50 : i * 50 + 2000]) for i in range(60)] + [(99, "http://a.example/99", noise), (100, "http://a.example/100", noise)]
+    warc.write(spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(2), path)
+    files = sorted((tmp_path / "w").rglob("part-*.txt"))
+    assert len(files) > 6
+    kinds, ids, refers = [], {}, []
+    for f in files:
+        data, first = f.read_bytes(), True
+        while data:
+            member = zlib.decompressobj(31)
+            text, data = member.decompress(data), member.unused_data
+            if not text:
+                continue
+            ((headers, block),) = warc.parse(text)  # one record in each member
+            assert (headers["warc-type"] == "warcinfo") == first
+            assert headers["warc-type"] == "warcinfo" or headers["warc-block-digest"] == "sha256:" + hashlib.sha256(block).hexdigest()
+            kinds.append(headers["warc-type"])
+            ids[headers["warc-record-id"]] = headers
+            refers.append(headers.get("warc-refers-to"))
+            first = False
+    assert kinds.count("response") == 61 and kinds.count("revisit") == 1 and kinds.count("warcinfo") == len(files) and len(ids) == len(kinds)
+    (target,) = set(refers) - {None}
+    assert ids[target]["warc-type"] == "response" and ids[target]["x-page-id"] == "99"
+    got = warc.assemble(warc.records(spark, path, with_blocks=False))
+    assert got.where("request is not null and metadata is not null").count() == 62 and warc.dangling(warc.records(spark, path, with_blocks=False)).count() == 0
+
+
+def test_warc_ties_go_either_way(spark):
+    rows = [("a", "response", "b"), ("b", "request", None), ("c", "metadata", "a"), ("d", "request", "x"), ("e", "revisit", None), ("f", "request", "e"), ("g", "request", "e"), ("h", "warcinfo", None), ("i", "metadata", None)]
+    found = spark.createDataFrame([(i, k, c, None, None, None, None, None, None) for i, k, c in rows], warc.RECORD_SQL)
+    got = {r.capture_id: (r.request and r.request.record_id, r.metadata and r.metadata.record_id) for r in warc.assemble(found).collect()}
+    assert got == {"a": ("b", "c"), "e": ("f", None)}
+    assert sorted(r.record_id for r in warc.dangling(found).collect()) == ["d", "i"]
+
+
 def test_html_extraction_cases(spark):
     def page(i, body):
         return f"<html><head><title>t</title></head><body><nav>m{i}</nav><div class='ad'>buy {i}</div><article><h1>Title {i}</h1>{body}<p>Share this page</p><div class='comments'>c{i}</div></article><footer>f {i}</footer></body></html>"

@@ -2,7 +2,7 @@
 
 The canonical form of a text leaves out copyright lines, puts A-Z in lower case, joins hyphenated words, takes every other
 run of ASCII punctuation and blanks as one blank, and writes equivalent spellings one way. Its SHA-256 is hash-joined with
-the digests of the known licences, a table of fixed size. Lines that contain the word part "icen" in
+the digests of a registry of licence texts (a table; it is broadcast if its measured size allows, else shuffled). Lines that contain the word part "icen" in
 either case, hyphenated or not, are looked up the same way among short notices, so that a notice inside a longer document is found.
 
 Null text has the digest of the empty text and no licence. Repeated rows give a row each. Extra columns are ignored; an
@@ -17,8 +17,9 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cascata.llm.common import LOWER, SEPARATORS, UPPER, ascii_lower
+from cascata.llm.common import LOWER, SEPARATORS, UPPER, ascii_lower, fits_broadcast
 from cascata.llm.license_texts import EQUIVALENT_WORDS, LICENSES, NOTICES
+from cascata.session import materialize
 
 #: Lines that state a copyright: the word with a year, sign, name or placeholder behind it, or a bare sign.
 COPYRIGHT_LINE = r"^[^A-Za-z0-9(]*(?:[Cc][Oo][Pp][Yy][Rr][Ii][Gg][Hh][Tt](?:ed)?[ ]*(?:\([Cc]\)|©|[0-9]{4}|<|\[|\{|[Bb][Yy] )|\([Cc]\) |©|[Aa]ll [Rr]ights [Rr]eserved)"
@@ -52,14 +53,22 @@ def canonical(text: Column) -> Column:
     return _words(F.array_join(lines, "\n"))
 
 
-def known_licenses(spark: SparkSession, extra: dict[str, str] | None = None) -> DataFrame:
-    """(digest, license_id); ``extra`` adds texts of the caller's own."""
-    rows = [(digest(text), name) for name, text in (LICENSES | (extra or {})).items()]
-    return spark.createDataFrame(rows, "known_digest string, license_id string").dropDuplicates(["known_digest"])
+def known_licenses(spark: SparkSession) -> DataFrame:
+    """(license_id, text): the registry that comes with the package."""
+    return spark.createDataFrame(list(LICENSES.items()), "license_id string, text string")
 
 
-def scan(documents: DataFrame, extra: dict[str, str] | None = None) -> DataFrame:
-    """doc_id, n_words, canonical_sha256, license_id (of the whole text) and notices (of its lines), a row per document."""
+def known_digests(registry: DataFrame) -> DataFrame:
+    """(known_digest, license_id) of a registry (license_id, text) of any size; of equal texts the smallest name counts."""
+    rows = registry.select(F.sha2(canonical(F.col("text")).cast("binary"), 256).alias("known_digest"), "license_id")
+    return materialize(rows.groupBy("known_digest").agg(F.min("license_id").alias("license_id")), "license-registry")
+
+
+def scan(documents: DataFrame, registry: DataFrame | None = None) -> DataFrame:
+    """doc_id, n_words, canonical_sha256, license_id (of the whole text) and notices (of its lines), a row per document.
+
+    ``registry`` (license_id, text) takes the place of the known licences that come with the package.
+    """
     notices = {digest(line): name for name, lines in NOTICES.items() for line in lines}
     known_notice = F.create_map(*[F.lit(x) for pair in sorted(notices.items()) for x in pair])
     lines = F.filter(F.split(F.coalesce(F.col("text"), F.lit("")), "\n"), lambda x: x.rlike(NOTICE_LINE))
@@ -69,5 +78,6 @@ def scan(documents: DataFrame, extra: dict[str, str] | None = None) -> DataFrame
         "doc_id", F.when(F.col("_text") == "", F.lit(0)).otherwise(F.length("_text") - F.length(F.replace("_text", F.lit(" "), F.lit(""))) + 1).cast("long").alias("n_words"),
         F.sha2(F.col("_text").cast("binary"), 256).alias("canonical_sha256"), F.array_join("_named", ",").alias("notices"),
     )
-    table = F.broadcast(known_licenses(documents.sparkSession, extra))  # fixed, plus what the caller names
-    return docs.join(table, F.col("canonical_sha256") == F.col("known_digest"), "left").select("doc_id", "n_words", "canonical_sha256", "license_id", "notices")
+    known = known_digests(known_licenses(documents.sparkSession) if registry is None else registry)
+    fits = fits_broadcast(known, F.octet_length("known_digest") + F.octet_length("license_id") + 48)
+    return docs.join(F.broadcast(known) if fits else known, F.col("canonical_sha256") == F.col("known_digest"), "left").select("doc_id", "n_words", "canonical_sha256", "license_id", "notices")

@@ -1,7 +1,10 @@
 """Line dedup by site-relative frequency, with DataFrame operations only.
 
 For each host, the number of its pages that hold a line is divided by the number of its pages. Lines above a boilerplate
-ratio are dropped from every page of that host. Each page counts a line once, and counting combines before the shuffle,
+ratio are dropped from every page of that host, if at least ``min_pages`` of its pages hold them (5 by default): on a host of
+fewer than 1 / ratio pages every line of every page is above the ratio, and a pair of copies would lose all its text. So a
+host of fewer pages than that loses no line, and one of more than min_pages / ratio (100) pages follows the ratio alone, as
+every host does with ``min_pages=1``. Each page counts a line once, and counting combines before the shuffle,
 so a hot host costs no more than others. A host has at most (lines per page / ratio) such lines, whatever its size.
 
 Lines are compared by the MD5 of what is left without the blanks around them, which keeps the shuffle narrow; blank lines are neither counted nor dropped. Pages with a null host

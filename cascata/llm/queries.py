@@ -99,10 +99,12 @@ _CANON = (
 )
 OP3_SQL = f"""
 WITH swap AS (SELECT map_from_entries([{", ".join(f"({_quoted(a)}, {_quoted(b)})" for a, b in licenses.EQUIVALENT_WORDS.items())}]) AS m),
-known(d, license_id) AS (VALUES {_pairs({licenses.digest(t): n for n, t in licenses.LICENSES.items()})}),
-notice(d, name) AS (VALUES {_pairs({licenses.digest(x): n for n, xs in licenses.NOTICES.items() for x in xs})}),
+registry(t, license_id) AS (VALUES {_pairs({t: n for n, t in licenses.LICENSES.items()})}),
+known AS (SELECT sha256(array_to_string(list_transform(string_split({_CANON.replace("{0}", "t")}, ' '), lambda w: coalesce(m[w], w)), ' ')) AS d, min(license_id) AS license_id FROM registry, swap GROUP BY 1),
+notice_lines(l, name) AS (VALUES {_pairs({x: n for n, xs in licenses.NOTICES.items() for x in xs})}),
+notice AS (SELECT DISTINCT sha256(array_to_string(list_transform(string_split({_CANON.replace("{0}", "l")}, ' '), lambda w: coalesce(m[w], w)), ' ')) AS d, name FROM notice_lines, swap),
 canon AS (SELECT doc_id, array_to_string(list_transform(string_split({_CANON.replace("{0}", "text")}, ' '), lambda w: coalesce(m[w], w)), ' ') AS c FROM documents, swap),
-lines AS (SELECT doc_id, unnest(list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: contains(x, '{licenses.NOTICE_PART}'))) AS l FROM documents),
+lines AS (SELECT doc_id, unnest(list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, {_quoted(licenses.NOTICE_LINE)}))) AS l FROM documents),
 named AS (
   SELECT doc_id, string_agg(DISTINCT name, ',' ORDER BY name) AS notices
   FROM (SELECT doc_id, sha256(array_to_string(list_transform(string_split({_CANON.replace("{0}", "l")}, ' '), lambda w: coalesce(m[w], w)), ' ')) AS d FROM lines, swap) JOIN notice USING (d) GROUP BY doc_id)

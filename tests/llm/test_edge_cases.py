@@ -501,6 +501,60 @@ def test_language_id(spark):
     assert langid.fit(empty) is None and langid.predict(empty, None).count() == 0
 
 
+def test_ftrl_matches_a_plain_loop():
+    """Per-coordinate FTRL-proximal with elastic net, one weight at a time, on the same order of rows."""
+    rng = random.Random(8)
+    rows, y = [], []
+    for i in range(30):
+        bins = sorted(rng.sample(range(12), 4))
+        rows.append((np.array(bins), np.array([rng.random() + 0.1 for _ in bins])))
+        y.append(sum(bins) % 3)
+    alpha, beta, l1, l2 = 0.7, 1.0, 0.05, 0.1
+    weights, bias = langid.train_ftrl(rows, np.array(y), 3, alpha, beta, l1, l2, epochs=2, seed=5)
+    z, n = {}, {}
+
+    def weight(j, c):
+        one, two = (0.0, 0.0) if j == "bias" else (l1, l2)
+        zj, nj = z.get((j, c), 0.0), n.get((j, c), 0.0)
+        return 0.0 if abs(zj) <= one else -(zj - (1 if zj > 0 else -1) * one) / ((beta + nj**0.5) / alpha + two)
+
+    order = np.random.default_rng(5)
+    for _ in range(2):
+        for i in order.permutation(len(rows)):
+            x = dict(zip(rows[i][0].tolist(), rows[i][1].tolist())) | {"bias": 1.0}
+            now = {(j, c): weight(j, c) for j in x for c in range(3)}
+            score = [sum(v * now[j, c] for j, v in x.items()) for c in range(3)]
+            e = [np.exp(s - max(score)) for s in score]
+            for j, v in x.items():
+                for c in range(3):
+                    g = v * (e[c] / sum(e) - (c == y[i]))
+                    sigma = ((n.get((j, c), 0.0) + g * g) ** 0.5 - n.get((j, c), 0.0) ** 0.5) / alpha
+                    z[j, c] = z.get((j, c), 0.0) + g - sigma * now[j, c]
+                    n[j, c] = n.get((j, c), 0.0) + g * g
+    assert np.allclose(weights[:12], [[weight(j, c) for c in range(3)] for j in range(12)]) and not weights[12:].any()
+    assert np.allclose(bias, [weight("bias", c) for c in range(3)]) and (weights[:12] == 0).any()
+
+
+def test_temperature_has_the_least_loss():
+    rng = np.random.default_rng(1)
+    scores, y = rng.normal(size=(200, 4)) * 6, rng.integers(0, 4, 200)
+    scores[np.arange(200), y] += 4
+    right, rest = 201 / 202, (1 - 201 / 202) / 3
+
+    def loss(t):
+        p = np.log(langid.softmax(scores / t))
+        return -(rest * p.sum(axis=1) + (right - rest) * p[np.arange(200), y]).mean()
+
+    best = langid.fit_temperature(scores, y)
+    assert all(loss(best) <= loss(t) + 1e-9 for t in np.geomspace(0.03, 19, 200))
+
+
+def test_licenses_of_a_registry_table(spark):
+    registry = spark.createDataFrame([("ours", "You may NOT copy this work."), ("also-ours", "you may not copy this work"), ("none", None)], "license_id string, text string")
+    docs = frame(spark, [(1, "Copyright 2020 Us\nYou may not copy this work!"), (2, "You may copy this work."), (3, licenses.LICENSES["MIT"])])
+    assert {r.doc_id: r.license_id for r in licenses.scan(docs, registry).collect()} == {1: "also-ours", 2: None, 3: None}
+
+
 def test_vector_search_recall_and_cases(spark):
     rng = np.random.default_rng(8)
     x = rng.normal(size=(900, 16)).astype(np.float32)

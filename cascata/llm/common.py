@@ -20,8 +20,9 @@ ROW_BYTES = 80
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-def bounded_batches(spark: SparkSession, size: int = 16 << 20) -> None:
-    """Texts reach Python in batches of at most ``size`` bytes: rows may be long, and executors hold several batches."""
+def bounded_batches(spark: SparkSession, size: int = 4 << 20) -> None:
+    """Texts reach Python in batches of at most ``size`` bytes: rows may be long, and executors hold
+    several batches, in growing buffers outside the heap and again in Python."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", f"{size}b")
 
 

@@ -34,7 +34,7 @@ from cascata.llm.common import attach, bounded_batches
 from cascata.llm.signature_tree import block_pairs, signature, size_class
 from cascata.llm.tokens import Frequent, Words, is_in, mix64, pieces, window_hashes
 from cascata.operators.components import connected_components
-from cascata.session import materialize
+from cascata.session import materialize, passing
 
 SHINGLE = 5
 MIN_SHARE = 0.75
@@ -292,8 +292,13 @@ def _frequent(features: DataFrame, n_docs: int) -> tuple[np.ndarray, np.ndarray]
 
 def link_documents(documents: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id for every row of ``documents`` (doc_id, text)."""
-    bounded_batches(documents.sparkSession)
-    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
+    spark = documents.sparkSession
+    bounded_batches(spark)
+    with passing(spark) as keep:
+        return keep(materialize(_linked(documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))), "ngram-components"))
+
+
+def _linked(docs: DataFrame) -> DataFrame:
     features = materialize(docs.mapInArrow(_features, _FEATURES), "ngram-features")
     rows = features.where("n is not null").select("doc_id", "n", "d1", "d2")
     hot = _frequent(features, rows.count())

@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from cascata.llm.common import bounded_batches
 from cascata.llm.tokens import Words, is_in, mix64, pieces, window_hashes
-from cascata.session import materialize
+from cascata.session import materialize, passing
 
 WINDOW = 13
 GRAIN = 4
@@ -330,7 +330,8 @@ def repeated_spans(documents: DataFrame) -> DataFrame:
     spark = documents.sparkSession
     bounded_batches(spark)
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    known, size = survey(docs)
+    with passing(spark):
+        known, size = survey(docs)
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // BLOCK_BYTES))
     shared = spark.sparkContext.broadcast(known)
     shipped = docs.mapInArrow(_shipped(shared, parts), "part int, block binary")

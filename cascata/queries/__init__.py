@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from cascata.queries import evaluation, graphs, hawkes, ingest, learning, propagation, rules, streams, windows
+from cascata.queries import evaluation, graphs, hawkes, ingest, learning, propagation, rules, streams, topology, windows
 from cascata.queries.registry import ORACLES, QUERIES
 
 
@@ -19,4 +19,4 @@ def oracle_sql():
     return dict(ORACLES)
 
 
-_ = (evaluation, graphs, hawkes, ingest, learning, propagation, rules, streams, windows)
+_ = (evaluation, graphs, hawkes, ingest, learning, propagation, rules, streams, topology, windows)

@@ -7,6 +7,7 @@ import math
 import uuid
 from functools import reduce
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -155,7 +156,16 @@ def content_uuid(raw: pd.Series) -> pd.Series:
 
 @F.pandas_udf(T.DoubleType())
 def log_gamma(x: pd.Series) -> pd.Series:
-    return x.map(lambda v: None if v is None or v != v else math.lgamma(v))
+    """Stirling's series from 8 up, after the recurrence for smaller arguments; positive arguments, null stays null."""
+    v = x.to_numpy(float, na_value=np.nan)
+    shift = np.zeros_like(v)
+    for _ in range(8):
+        low = v < 8
+        shift = np.where(low, shift - np.log(np.where(low, v, 1.0)), shift)
+        v = np.where(low, v + 1, v)
+    r = 1 / (v * v)
+    series = (1 / 12 + r * (-1 / 360 + r * (1 / 1260 + r * (-1 / 1680 + r * (1 / 1188 + r * (-691 / 360360 + r / 156)))))) / v
+    return pd.Series(shift + (v - 0.5) * np.log(v) - v + 0.5 * np.log(2 * np.pi) + series)
 
 
 def dirichlet_log_predictive(new: Column, old: Column, prior: float) -> Column:

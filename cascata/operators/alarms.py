@@ -6,13 +6,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cascata.functions.scalars import delayed_clear, is_true_text, parse_list, parse_time
+from cascata.operators.ranking import running_totals
 
 
 def resolve_site(alarms: DataFrame, ne_site: DataFrame, valid_sites: DataFrame | None = None) -> DataFrame:
     """Own site_id, else the element's. With ``valid_sites`` an own site that isn't valid falls back too."""
     own = F.when(F.trim(F.coalesce("site_id", F.lit(""))) != "", F.trim("site_id"))
     dim = ne_site.select(F.col("ne_id").alias("_ne"), F.col("site_id").alias("_ne_site"))
-    joined = alarms.join(F.broadcast(dim) if _is_small(dim) else dim, F.trim("alarm_source") == F.col("_ne"), "left")
+    joined = alarms.join(dim, F.trim("alarm_source") == F.col("_ne"), "left")
     if valid_sites is None:
         return joined.withColumn("site_id", F.coalesce(own, "_ne_site")).drop("_ne", "_ne_site")
     valid = valid_sites.select(F.col("site_id").alias("_valid")).distinct()
@@ -21,11 +22,6 @@ def resolve_site(alarms: DataFrame, ne_site: DataFrame, valid_sites: DataFrame |
     return resolved.join(valid.withColumnRenamed("_valid", "site_id"), "site_id", "left_semi")
 
 
-def _is_small(df: DataFrame, rows: int = 200_000) -> bool:
-    """Whether a dimension may be broadcast: counted, never assumed."""
-    return df.limit(rows + 1).count() <= rows
-
-
 def normalize(raw: DataFrame, titles: list[str], ne_site: DataFrame, valid_sites: DataFrame, start_us: int | None = None, end_us: int | None = None, clear_delay_s: float = 0.0, sources: DataFrame | None = None) -> DataFrame:
     """Raise and clear events (eid, alarm_source, site_id, alarm_title, ts, is_clear) of the raw alarms that pass.
 
@@ -110,19 +106,14 @@ def first_by(df: DataFrame, keys: list[str], order: Column) -> DataFrame:
 
 
 def split_by_time(df: DataFrame, order: list[str], fraction: float) -> DataFrame:
-    """Adds ``part``: the last ``fraction`` of rows by time is 'val'.
+    """Adds ``part``: the last ``fraction`` of rows by time is 'val'; ``order`` tells rows apart.
 
-    The cutting row is found by a distributed top-k (or its mirror), so that no global window gathers all rows.
+    The cutting row comes from running counts over ranges of the order, so that no task ranks all rows.
     """
     n = df.count()
     last = int(n * fraction)
     if not last:
         return df.withColumn("part", F.lit("train"))
-    key = F.struct(*order)
-    if last <= n // 2:
-        cut = df.orderBy(*[F.desc(c) for c in order]).limit(last).agg(F.min(key).alias("_cut"))
-        is_val = key >= F.col("_cut")
-    else:
-        cut = df.orderBy(*order).limit(n - last).agg(F.max(key).alias("_cut"))
-        is_val = key > F.col("_cut")
-    return df.crossJoin(F.broadcast(cut)).withColumn("part", F.when(is_val, "val").otherwise("train")).drop("_cut")
+    ranked = running_totals(df.select(*order), [F.col(c) for c in order], {"_n": F.lit(1)}, "split")
+    cut = ranked.where(F.col("_n") == n - last + 1).select(F.struct(*order).alias("_cut"))  # one row
+    return df.crossJoin(F.broadcast(cut)).withColumn("part", F.when(F.struct(*order) >= F.col("_cut"), "val").otherwise("train")).drop("_cut")

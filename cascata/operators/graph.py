@@ -106,11 +106,11 @@ def root_of(parents: DataFrame, node: str = "node", parent: str = "parent", max_
     return parents.select(F.col(node).alias("node")).join(comp, "node", "left").select("node", F.coalesce("component", "node").alias("root"), F.lit(-1).alias("depth"))
 
 
-def shared_neighbours(edges: DataFrame) -> DataFrame:
-    """Per undirected edge (a < b): common neighbours, Jaccard, Adamic-Adar and resource allocation."""
+def shared_neighbours(edges: DataFrame, of: DataFrame | None = None) -> DataFrame:
+    """Per pair (a < b): common neighbours, Jaccard, Adamic-Adar and resource allocation. of: pairs (a, b), else all links."""
     both = materialize(mirrored(edges.where("src <> dst")), "shared-edges")
     degree = both.groupBy("src").agg(F.count("*").alias("deg"))
-    pairs = both.where("src < dst").select(F.col("src").alias("a"), F.col("dst").alias("b"))
+    pairs = both.where("src < dst").select(F.col("src").alias("a"), F.col("dst").alias("b")) if of is None else of.select("a", "b").distinct()
     left = pairs.join(both.select(F.col("src").alias("a"), F.col("dst").alias("m")), "a")
     common = left.join(both.select(F.col("src").alias("b"), F.col("dst").alias("m")), ["b", "m"]).join(degree.select(F.col("src").alias("m"), F.col("deg").alias("deg_m")), "m")
     sums = common.groupBy("a", "b").agg(F.count("*").alias("common"), F.sum(F.when(F.col("deg_m") > 1, 1 / F.log(F.col("deg_m").cast("double"))).otherwise(0.0)).alias("adamic_adar"), F.sum(1 / F.col("deg_m")).alias("resource_allocation"))
@@ -444,14 +444,11 @@ def layered_order(edges: DataFrame) -> DataFrame:
     return done if done is not None else nodes.limit(0).withColumn("layer", F.lit(0))
 
 
-def power_iteration(rows: list[tuple[int, int, float]], size: int, rounds: int = 80, tolerance: float = 1e-6) -> float:
-    """Spectral radius of a small non-negative matrix given as (target, source, weight)."""
-    m = np.zeros((size, size))
-    for t, s, a in rows:
-        m[t, s] += a
-    v, last = np.full(size, 1 / math.sqrt(size)), 0.0
+def power_iteration(target: np.ndarray, source: np.ndarray, weight: np.ndarray, size: int, rounds: int = 80, tolerance: float = 1e-6) -> float:
+    """Spectral radius of a non-negative matrix, given by its filled cells."""
+    v, last = np.full(size, 1 / math.sqrt(max(1, size))), 0.0
     for _ in range(rounds):
-        w = m @ v
+        w = np.bincount(target, weight * v[source], size)
         norm = float(np.linalg.norm(w))
         if norm == 0:
             return 0.0
@@ -462,3 +459,21 @@ def power_iteration(rows: list[tuple[int, int, float]], size: int, rounds: int =
     return last
 
 
+def spectral_radius(edges: DataFrame, rounds: int = 80, tolerance: float = 1e-6, most: int = 1_000_000) -> float:
+    """Spectral radius of edges (target, source, alpha): on the driver up to ``most`` of them, beyond by a join and an aggregation a round."""
+    if edges.count() <= most:
+        cells = edges.select("target", "source", "alpha").toArrow()
+        names = {x: i for i, x in enumerate(dict.fromkeys(cells["target"].to_pylist() + cells["source"].to_pylist()))}
+        ends = [np.array([names[x] for x in cells[c].to_pylist()], np.int64) for c in ("target", "source")]
+        return power_iteration(*ends, np.asarray(cells["alpha"], float), len(names), rounds, tolerance)
+    nodes = edges.select(F.col("target").alias("node")).union(edges.select("source")).distinct()
+    v = materialize(nodes.withColumn("v", F.lit(1.0)), "radius")
+    scale, last = math.sqrt(v.count()), 0.0
+    for _ in range(rounds):
+        w = edges.join(v, F.col("source") == F.col("node")).groupBy(F.col("target").alias("node")).agg((F.sum(F.col("alpha") * F.col("v")) / scale).alias("v"))
+        v = materialize(w, "radius")
+        scale = math.sqrt(v.agg(F.sum(F.col("v") * F.col("v"))).first()[0] or 0.0)
+        if scale == 0 or abs(scale - last) <= tolerance * max(1.0, scale):
+            return scale
+        last = scale
+    return last

@@ -14,7 +14,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cascata.operators.components import connected_components
-from cascata.operators.graph import power_iteration
+from cascata.operators.graph import spectral_radius
+from cascata.operators.ranking import running_totals
 from cascata.session import materialize
 
 EPS = 1e-12
@@ -23,7 +24,7 @@ EPS = 1e-12
 def pair_scores(pairs: DataFrame, edges: DataFrame, late: Column | None = None) -> DataFrame:
     """Adds score = alpha * beta * exp(-beta * max(dt, 0)) [* late weight]; pairs: t_dim, s_dim, dt in kernel time units."""
     side = edges.select(F.col("target").alias("t_dim"), F.col("source").alias("s_dim"), "alpha", "beta")
-    joined = pairs.join(F.broadcast(side), ["t_dim", "s_dim"])  # at most dims * dims rows
+    joined = pairs.join(side, ["t_dim", "s_dim"])  # broadcast if its measured size allows
     score = F.col("alpha") * F.col("beta") * F.exp(-F.col("beta") * F.greatest(F.col("dt"), F.lit(0.0)))
     return joined.withColumn("score", score if late is None else score * late)
 
@@ -31,7 +32,7 @@ def pair_scores(pairs: DataFrame, edges: DataFrame, late: Column | None = None)
 def estep(events: DataFrame, scored: DataFrame, mu: DataFrame) -> DataFrame:
     """Per pair p = score / rate; rate = max(mu + sum of scores, eps). events: eid, dim. Adds p_parent to the pairs."""
     total = scored.groupBy("t_eid").agg(F.sum("score").alias("total"))
-    rate = events.join(F.broadcast(mu), "dim").join(total, F.col("eid") == F.col("t_eid"), "left")
+    rate = events.join(mu, "dim").join(total, F.col("eid") == F.col("t_eid"), "left")
     rate = rate.select("eid", "dim", "mu", F.greatest(F.col("mu") + F.coalesce("total", F.lit(0.0)), F.lit(EPS)).alias("rate"))
     return rate
 
@@ -57,6 +58,32 @@ def initial_alpha(pairs: DataFrame, events: DataFrame, prior_weight: float, prio
     return grid.join(seen, ["target", "source"], "left").select("target", "source", ((F.coalesce("pairs", F.lit(0)) + prior_weight * prior_mean) / (F.col("n") * factor + prior_weight)).alias("alpha"), F.coalesce("pairs", F.lit(0)).alias("pairs"), F.coalesce("sum_dt", F.lit(0.0)).alias("sum_dt"))
 
 
+def sparse_alpha(seen: DataFrame, counts: DataFrame, prior_weight: float, prior_mean: float, cap: float, k: int, threshold: float, factor: float = 1.0) -> DataFrame:
+    """(target, source, alpha): the same as initial values for all of dims x dims, capped and cut to the top ``k`` of each target.
+
+    seen: target, source, num (pairs or expected pairs) of the pairs that occur. Pairs that don't occur share the value that
+    their source's prior gives, so they enter a source's branching sum by their number, and a target's top by the order of
+    the sources' values: work grows with the pairs that occur and k times the vocabulary, not with its square.
+    """
+    prior = prior_weight * prior_mean
+    size = counts.count()
+    alpha = seen.join(counts.select(F.col("dim").alias("source"), "n"), "source").select("target", "source", ((F.col("num") + prior) / (F.col("n") * factor + prior_weight)).alias("alpha"))
+    alpha = materialize(alpha, "em-seen")
+    sums = alpha.groupBy("source").agg(F.sum("alpha").alias("_sum"), F.count("*").alias("_seen"))
+    unseen = F.lit(prior) / (F.col("n") * factor + prior_weight)
+    sources = counts.select(F.col("dim").alias("source"), unseen.alias("alpha")).join(sums, "source", "left")
+    total = F.coalesce("_sum", F.lit(0.0)) + (size - F.coalesce("_seen", F.lit(0))) * F.col("alpha")
+    sources = sources.select("source", "alpha", F.when(total > cap, cap / total).otherwise(1.0).alias("scale"))
+    ranked = running_totals(sources.select("source", "scale", (F.col("alpha") * F.col("scale")).alias("alpha")), [F.desc("alpha"), F.col("source")], {"place": F.lit(1)}, "em-sources")
+    scaled = alpha.join(ranked.select("source", "scale"), "source").select("target", "source", (F.col("alpha") * F.col("scale")).alias("alpha"))
+    wide = counts.select(F.col("dim").alias("target")).join(alpha.groupBy("target").agg(F.count("*").alias("_s")), "target", "left")
+    # Of the sources that a target hasn't seen, k are among the first k + (number it has seen).
+    first = wide.select("target", F.explode(F.sequence(F.lit(1), F.least(F.lit(size), k + F.coalesce("_s", F.lit(0))).cast("int"))).alias("place"))
+    others = first.join(ranked.where(F.col("alpha") > threshold).select(F.col("place").cast("int").alias("place"), "source", "alpha"), "place").select("target", "source", "alpha")
+    others = others.join(scaled.select("target", "source"), ["target", "source"], "left_anti")
+    return top_edges(scaled.unionByName(others), k, threshold)
+
+
 def cap_branching(edges: DataFrame, cap: float) -> DataFrame:
     """Scales the alphas of a source whose sum over targets exceeds the cap."""
     total = F.sum("alpha").over(Window.partitionBy("source"))
@@ -72,7 +99,7 @@ def top_edges(edges: DataFrame, k: int, threshold: float) -> DataFrame:
 def parents(events: DataFrame, scored: DataFrame, mu: DataFrame) -> DataFrame:
     """(eid, parent, score, mu): the best scored source; null where mu exceeds it. Ties: the earliest source by sequence."""
     best = scored.groupBy("t_eid").agg(F.max(F.struct("score", (-F.col("s_seq")).alias("o"), "s_eid")).alias("b"))
-    joined = events.join(F.broadcast(mu), "dim").join(best, F.col("eid") == F.col("t_eid"), "left")
+    joined = events.join(mu, "dim").join(best, F.col("eid") == F.col("t_eid"), "left")
     wins = F.col("b.score").isNotNull() & ~(F.col("mu") > F.col("b.score"))
     return joined.select("eid", F.when(wins, F.col("b.s_eid")).alias("parent"), F.coalesce("b.score", F.lit(0.0)).alias("score"), "mu")
 
@@ -98,9 +125,10 @@ def fit(events: DataFrame, pairs: DataFrame, horizon: float, rounds: int = 5, be
     """
     pairs = materialize(pairs, "em-pairs")
     events = materialize(events, "em-events")
-    counts = events.groupBy("dim").agg(F.count("*").alias("n"))
+    counts = materialize(events.groupBy("dim").agg(F.count("*").alias("n")), "em-counts")
     mu = materialize(initial_mu(events, horizon), "em-mu")
-    edges = materialize(top_edges(cap_branching(initial_alpha(pairs, events, prior, prior_mean), cap), k, threshold).select("target", "source", "alpha", F.lit(beta).alias("beta")), "em-edges")
+    seen = pairs.groupBy(F.col("t_dim").alias("target"), F.col("s_dim").alias("source")).agg(F.count("*").alias("num"))
+    edges = materialize(sparse_alpha(seen, counts, prior, prior_mean, cap, k, threshold).withColumn("beta", F.lit(beta)), "em-edges")
     best, trace = None, []
     for i in range(rounds):
         by_pair, by_dim = estep_sums(events, pair_scores(pairs, edges), mu)
@@ -115,13 +143,10 @@ def fit(events: DataFrame, pairs: DataFrame, horizon: float, rounds: int = 5, be
         if on_round and on_round(i, ll):
             break
         mu = materialize(by_dim.select("dim", F.greatest(F.col("sum_self") / horizon, F.lit(0.05 / horizon)).alias("mu")), "em-mu")
-        grid = counts.select(F.col("dim").alias("target")).crossJoin(counts.select(F.col("dim").alias("source"), "n"))
-        new = grid.join(by_pair.withColumnsRenamed({"t_dim": "target", "s_dim": "source"}), ["target", "source"], "left")
-        new = new.select("target", "source", ((F.coalesce("sum_p", F.lit(0.0)) + prior * prior_mean) / (F.col("n") + prior)).alias("alpha"))
-        edges = materialize(top_edges(cap_branching(new, cap), k, threshold).select("target", "source", "alpha", F.lit(beta).alias("beta")), "em-edges")
+        seen = by_pair.select(F.col("t_dim").alias("target"), F.col("s_dim").alias("source"), F.col("sum_p").alias("num"))
+        edges = materialize(sparse_alpha(seen, counts, prior, prior_mean, cap, k, threshold).withColumn("beta", F.lit(beta)), "em-edges")
     ll, mu, edges = best
-    names = {r[0]: i for i, r in enumerate(mu.select("dim").orderBy("dim").collect())}  # the vocabulary
-    radius = power_iteration([(names[r["target"]], names[r["source"]], r["alpha"]) for r in edges.collect()], len(names))
+    radius = spectral_radius(edges)
     if radius > 0.95:
         edges = edges.withColumn("alpha", F.col("alpha") * (0.95 / radius))
     return {"mu": mu, "edges": edges, "log_likelihood": ll, "trace": trace, "spectral_radius": radius}

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cascata.operators.ranking import running_totals
+
 #: How well a topology relation explains a pair, and the weights of the health components.
 RELATION_SCORES = {"same_device": 1.0, "direct": 0.9, "same_site": 0.75, "indirect": 0.5, "cross_site": 0.2, "unknown": 0.05}
 HEALTH_WEIGHTS = {"topology": 0.30, "time": 0.20, "size": 0.15, "singleton": 0.15, "virtual": 0.10, "risk": 0.10}
@@ -25,8 +27,12 @@ def floor_percentiles(df: DataFrame, value: str, percents: list[int], by: list[s
     """
     by = by or []
     counts = df.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("v")).agg(F.count("*").alias("n"))
-    w = Window.partitionBy(*by).orderBy("v")
-    upto = counts.withColumn("hi", F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("total", F.sum("n").over(Window.partitionBy(*by)))
+    if by:
+        w = Window.partitionBy(*by).orderBy("v")
+        upto = counts.withColumn("hi", F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("total", F.sum("n").over(Window.partitionBy(*by)))
+    else:
+        upto = running_totals(counts, [F.col("v")], {"hi": F.col("n")}, "percentiles")
+        upto = upto.crossJoin(F.broadcast(upto.agg(F.max("hi").alias("total"))))  # one row
     wanted = upto.withColumn("p", F.explode(F.array(*[F.lit(p) for p in percents]))).withColumn("at", F.floor(F.col("p") * (F.col("total") - 1) / 100))
     return wanted.where((F.col("at") < F.col("hi")) & (F.col("at") >= F.col("hi") - F.col("n"))).select(*by, "p", F.col("v").alias("value"))
 
@@ -42,7 +48,8 @@ def histogram(df: DataFrame, value: Column, uppers: list[float], by: list[str] |
 def midrank_auc(df: DataFrame, value: str, positive: str) -> DataFrame:
     """P(positive < other) + ties / 2, in one row; ranks are summed over distinct values, so nothing is sorted twice."""
     counts = df.groupBy(F.col(value).alias("v")).agg(F.count_if(F.col(positive)).alias("p"), F.count_if(~F.col(positive)).alias("q"))
-    below = F.coalesce(F.sum("p").over(Window.orderBy("v").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    counts = running_totals(counts, [F.col("v")], {"upto": F.col("p")}, "auc")
+    below = F.col("upto") - F.col("p")
     wins = counts.withColumn("w", F.col("q") * (below + F.col("p") / F.lit(2.0)))
     return wins.agg((F.sum("w") / (F.sum("p") * F.sum("q"))).alias("auc"), F.sum("p").alias("n_within"), F.sum("q").alias("n_null"))
 
@@ -140,10 +147,8 @@ def health(profile: DataFrame, cohesion: Column, virtual_ratio: Column, risk_rat
 def rank_metrics(df: DataFrame, label: str, score: str) -> DataFrame:
     """ROC-AUC (ties count half), average precision (ties in one step) and log-loss, in one row."""
     counts = df.groupBy(F.col(score).alias("s")).agg(F.count_if(F.col(label) == 1).alias("p"), F.count_if(F.col(label) != 1).alias("q"))
-    w = Window.orderBy(F.desc("s"))
-    tp = F.sum("p").over(w.rowsBetween(Window.unboundedPreceding, 0))
-    n = F.sum(F.col("p") + F.col("q")).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    above = F.coalesce(F.sum("p").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    counts = running_totals(counts, [F.desc("s")], {"tp": F.col("p"), "n": F.col("p") + F.col("q")}, "ranks")
+    tp, n, above = F.col("tp"), F.col("n"), F.col("tp") - F.col("p")
     each = counts.select("p", "q", (F.col("p") * tp / n).alias("ap"), (F.col("q") * (above + F.col("p") / 2)).alias("auc"))
     one = each.agg((F.sum("auc") / (F.sum("p") * F.sum("q"))).alias("roc_auc"), (F.sum("ap") / F.sum("p")).alias("average_precision"))
     s = F.greatest(F.lit(1e-12), F.least(F.lit(1 - 1e-12), F.col(score)))

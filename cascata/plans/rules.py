@@ -145,7 +145,6 @@ def match(rule: Rule, alarms: DataFrame, profile: DataFrame, edges: DataFrame) -
     kinds = sorted({k for n in (trigger.patterns or (trigger,)) for k in (n.required or ())})
     starts = alarms.where(F.col("kind").isin(*kinds)).join(profile.where(trigger.fits(F.col("domains"))), "site", "left_semi")
     state = materialize(starts.select(F.col("eid").cast("string").alias("inst"), F.col("eid").alias("trigger_eid"), F.col("ts").alias("ref_ts"), F.array("site").alias(f"r_{rule.trigger}")), "rule")
-    closures: dict[tuple[str, int], DataFrame] = {}
     symptoms = state.select("inst", F.lit(rule.trigger).alias("role"), F.col(f"r_{rule.trigger}")[0].alias("site"), F.col("trigger_eid").alias("eid"))
     parts, windows = [symptoms], {}
     for edge, role, other in _walk(rule):
@@ -156,10 +155,7 @@ def match(rule: Rule, alarms: DataFrame, profile: DataFrame, edges: DataFrame) -
         if direction == "self":
             cand = here.withColumn("site", F.col("_from")).withColumn("hop", F.lit(0))
         else:
-            key = (direction, edge.max_hops)
-            if key not in closures:
-                closures[key] = reach(edges, edge.max_hops, direction)
-            r = closures[key]
+            r = reach(edges, edge.max_hops, direction, starts=here.select(F.col("_from").alias("node")))  # from the sites in question only
             cand = here.join(r.select(F.col("src").alias("_from"), F.col("dst").alias("site"), "hop"), "_from")
         cand = cand.join(profile, "site").where(node.fits(F.col("domains")))
         if edge.nearest:

@@ -126,5 +126,5 @@ def group_diagnostics(spark, sf_dir):
 @query("mhp_fit")
 def mhp_fit(spark, sf_dir):
     ev = events(spark, sf_dir)
-    model = H.fit(ev, pairs(ev), 2880.0, rounds=3)
+    model = H.fit(ev, pairs(ev), 2880.0, rounds=30)
     return model["edges"].select("target", "source", "alpha", "beta")

@@ -56,10 +56,23 @@ def threshold_grid(spark, sf_dir):
 def link_ranking(spark, sf_dir):
     e = mesh(spark, sf_dir)
     s = samples(spark, sf_dir)
-    probe = e.union(s.select(F.col("a").alias("src"), F.col("b").alias("dst"))).distinct()
     features = ["common", "jaccard", "adamic_adar", "resource_allocation"]
-    rows = L.split_groups(s.join(shared_neighbours(probe), ["a", "b"]), F.col("a"), "s")
+    rows = L.split_groups(s.join(shared_neighbours(e, s), ["a", "b"]), F.col("a"), "s")
     rows = L.standardize(rows, features, F.col("part") == "train")
     model = L.train(rows.where("part = 'train'"), features, "label")
     scored = L.score(model, rows, features)
     return scored.select("a", "b", "label", "part", F.element_at("probabilities", 2).alias("score"))
+
+
+@query(
+    "link_features",
+    "WITH " + SAMPLE_SQL + """, deg AS (SELECT src, count(*) AS d FROM both_ways GROUP BY src),
+c AS (SELECT x.src AS a, y.src AS b, count(*) AS common, sum(CASE WHEN d > 1 THEN 1 / ln(CAST(d AS DOUBLE)) ELSE 0 END) AS aa, sum(1.0::DOUBLE / d) AS ra FROM both_ways x JOIN both_ways y ON x.dst = y.dst JOIN deg ON deg.src = x.dst GROUP BY x.src, y.src)
+SELECT s.a, s.b, label, coalesce(common, 0) AS common, round(coalesce(common, 0)::DOUBLE / (p.d + q.d - coalesce(common, 0)), 9) AS jaccard, round(coalesce(aa, 0.0), 9) AS adamic_adar, round(coalesce(ra, 0.0), 9) AS resource_allocation
+FROM samples s JOIN deg p ON p.src = s.a JOIN deg q ON q.src = s.b LEFT JOIN c ON c.a = s.a AND c.b = s.b""",
+)
+def link_features(spark, sf_dir):
+    """Neighbour features of samples on the real graph, which doesn't hold the negatives."""
+    s = samples(spark, sf_dir)
+    out = s.join(shared_neighbours(mesh(spark, sf_dir), s), ["a", "b"])
+    return out.select("a", "b", "label", "common", *[F.round(c, 9).alias(c) for c in ("jaccard", "adamic_adar", "resource_allocation")])

@@ -67,7 +67,7 @@ def _record(kind: Column, headers: list[Column], block: Column) -> Column:
 
 def member(record: bytes) -> bytes:
     """``record`` as a gzip member that ends with a NUL, as one of less than 16 MB does by itself."""
-    packed = gzip.compress(record, 6, mtime=0)
+    packed = gzip.compress(record, 1, mtime=0)
     return packed if packed[-1] == 0 else packed + gzip.compress(b"", mtime=0)
 
 

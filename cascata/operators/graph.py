@@ -267,11 +267,17 @@ def pair_directions(pairs: DataFrame, sites: DataFrame, weights: dict[str, float
 
 
 def anchors(scores: DataFrame, ratio: float = 0.85, most: int = 3) -> DataFrame:
-    """Per component up to ``most`` nodes whose score reaches ``ratio`` of the best; Data sites first, then score, then id."""
-    best = scores.groupBy("component").agg(F.max("score").alias("_best"))
-    good = scores.join(best, "component").where(F.col("score") >= ratio * F.col("_best"))
-    order = Window.partitionBy("component").orderBy(F.desc("has_data"), F.desc("score"), "node")
-    return good.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= most).select("component", "node", "score")
+    """Per component the anchors among ``scores`` (component, node, score, has_data, neighbours).
+
+    Where a component has Data sites, up to ``most`` of them whose score reaches ``ratio`` of their best, by score, then
+    neighbours, then id, each descending; elsewhere the one best node.
+    """
+    best = F.max_by(F.struct("has_data", "score"), F.struct("has_data", "score"))
+    top = scores.groupBy("component").agg(best.alias("_best"))
+    good = scores.join(top, "component").where((F.col("has_data") == F.col("_best.has_data")) & (F.col("score") + 1e-9 >= ratio * F.col("_best.score")) | (~F.col("_best.has_data") & (F.col("score") == F.col("_best.score"))))
+    order = Window.partitionBy("component").orderBy(F.desc("score"), F.desc("neighbours"), F.desc("node"))
+    kept = good.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= F.when(F.col("_best.has_data"), most).otherwise(1))
+    return kept.select("component", "node", "score")
 
 
 def break_cycles(edges: DataFrame) -> DataFrame:

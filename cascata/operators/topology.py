@@ -153,3 +153,42 @@ def latest_peers(links: DataFrame) -> DataFrame:
     return last.select("ne", "port", "m.remote_ne", "m.remote_port")
 
 
+def _crossing(elements: DataFrame, links: DataFrame) -> DataFrame:
+    """(site, domain, far_site, far_domain) of each end of each distinct link between elements of different sites."""
+    pairs = links.select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).where("a <> b").distinct()
+    ends = elements.where("site is not null")
+    left, right = (ends.select(F.col("ne_id").alias(k), F.col("site").alias(f"{k}_site"), F.col("domain").alias(f"{k}_domain")) for k in "ab")
+    placed = pairs.join(left, "a").join(right, "b").where("a_site <> b_site")
+    side = lambda x, y: F.struct(F.col(f"{x}_site").alias("site"), F.col(f"{x}_domain").alias("domain"), F.col(f"{y}_site").alias("far_site"), F.col(f"{y}_domain").alias("far_domain"))
+    return placed.select(F.explode(F.array(side("a", "b"), side("b", "a"))).alias("e")).select("e.*")
+
+
+def misconnection_pairs(elements: DataFrame, links: DataFrame) -> DataFrame:
+    """(site_a, site_b), site_a the smaller, of links that are likely wrong.
+
+    One site has DATA elements, the other TRANSMISSION and RAN but no DATA elements; a link with a TRANSMISSION end joins
+    them and none joins DATA with RAN.
+    """
+    has = lambda d: F.max(F.coalesce(F.col("domain") == d, F.lit(False)))
+    kinds = elements.where("site is not null").groupBy("site").agg(has("DATA").alias("data"), (~has("DATA") & has("RAN") & has("TRANSMISSION")).alias("access"))
+    core, access = kinds.where("data").select("site"), kinds.where("access").select(F.col("site").alias("far_site"))
+    facing = _crossing(elements, links).join(core, "site", "left_semi").join(access, "far_site", "left_semi")
+    wired = F.max(F.col("domain").eqNullSafe("TRANSMISSION") | F.col("far_domain").eqNullSafe("TRANSMISSION"))
+    vouched = F.max((F.col("domain").eqNullSafe("DATA") & F.col("far_domain").eqNullSafe("RAN")) | (F.col("domain").eqNullSafe("RAN") & F.col("far_domain").eqNullSafe("DATA")))
+    found = facing.groupBy("site", "far_site").agg(wired.alias("wired"), vouched.alias("vouched")).where("wired and not vouched")
+    return found.select(F.least("site", "far_site").alias("site_a"), F.greatest("site", "far_site").alias("site_b"))
+
+
+#: What counts how much in a site's core score.
+CORE_WEIGHTS = {"data_site": 6.0, "data_elements": 1.5, "neighbours": 0.8, "links": 0.6, "data_ends": 1.2, "transmission_ends": 0.4}
+
+
+def core_scores(elements: DataFrame, links: DataFrame, weights: dict[str, float] = CORE_WEIGHTS) -> DataFrame:
+    """(node, score, has_data, neighbours) of each site: weighted counts of its DATA elements, neighbour sites and links to them."""
+    count = lambda c: F.count(F.when(c, 1))
+    own = elements.where("site is not null").groupBy("site").agg(count(F.col("domain") == "DATA").alias("data_elements"))
+    ends = _crossing(elements, links).groupBy("site", "far_site").agg(F.count("*").alias("links"), count(F.col("domain") == "DATA").alias("data_ends"), count(F.col("domain") == "TRANSMISSION").alias("transmission_ends"))
+    seen = ends.groupBy("site").agg(F.count("*").alias("neighbours"), *[F.sum(c).alias(c) for c in ("links", "data_ends", "transmission_ends")])
+    all_of = own.join(seen, "site", "left").na.fill(0).withColumn("data_site", (F.col("data_elements") > 0).cast("int"))
+    score = sum((F.lit(w) * F.col(name) for name, w in weights.items()), F.lit(0.0))
+    return all_of.select(F.col("site").alias("node"), score.alias("score"), (F.col("data_elements") > 0).alias("has_data"), "neighbours")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from cascata.operators import graph as G
 from cascata.operators import lookups as K
 from cascata.operators import metrics as M
 from cascata.operators import topology as T
@@ -355,3 +356,42 @@ def visible_role_sites(spark, sf_dir):
     peer = g.select("group_id", F.lit("peer").alias("role"), ((F.col("site") + 1) % 25).alias("site"), F.lit(True).alias("hide_if_no_alarms"))
     roles = g.select("group_id", F.lit("own").alias("role"), "site", F.lit(False).alias("hide_if_no_alarms")).unionByName(peer)
     return K.visible_roles(roles, g).select("group_id", "site", "role")
+
+
+_PLACED = """e AS (SELECT s_suppkey AS ne, s_suppkey // 3 AS site, CASE s_suppkey % 5 WHEN 0 THEN 'DATA' WHEN 1 THEN 'RAN' ELSE 'TRANSMISSION' END AS domain FROM supplier WHERE s_suppkey % 5 <> 4),
+x AS (SELECT DISTINCT least(src, dst) AS a, greatest(src, dst) AS b FROM mesh WHERE src <> dst),
+c AS (SELECT p.site AS s, p.domain AS d, q.site AS t, q.domain AS f FROM x JOIN e p ON p.ne = a JOIN e q ON q.ne = b WHERE p.site <> q.site
+  UNION ALL SELECT q.site, q.domain, p.site, p.domain FROM x JOIN e p ON p.ne = a JOIN e q ON q.ne = b WHERE p.site <> q.site)"""
+
+
+def _placed(spark, sf_dir):
+    k = F.col("s_suppkey")
+    domain = F.when(k % 5 == 0, "DATA").when(k % 5 == 1, "RAN").otherwise("TRANSMISSION")
+    return table(spark, sf_dir, "supplier").where(k % 5 != 4).select(k.alias("ne_id"), F.floor(k / 3).alias("site"), domain.alias("domain"))
+
+
+@query(
+    "misconnection_pairs",
+    "WITH " + MESH_SQL + ", " + _PLACED + """,
+k AS (SELECT site, bool_or(domain = 'DATA') AS data, bool_or(domain = 'RAN') AND bool_or(domain = 'TRANSMISSION') AS access FROM e GROUP BY site)
+SELECT DISTINCT least(s, t) AS site_a, greatest(s, t) AS site_b FROM c JOIN k u ON u.site = s JOIN k v ON v.site = t WHERE u.data AND v.access AND NOT v.data
+GROUP BY s, t HAVING bool_or(d = 'TRANSMISSION' OR f = 'TRANSMISSION') AND NOT bool_or((d = 'DATA' AND f = 'RAN') OR (d = 'RAN' AND f = 'DATA'))""",
+)
+def misconnection_pairs(spark, sf_dir):
+    return T.misconnection_pairs(_placed(spark, sf_dir), mesh(spark, sf_dir))
+
+
+@query(
+    "core_anchors",
+    "WITH " + MESH_SQL + ", " + _PLACED + """,
+n AS (SELECT site, count(*) FILTER (WHERE domain = 'DATA') AS data FROM e GROUP BY site),
+l AS (SELECT s, count(DISTINCT t) AS near, count(*) AS links, count(*) FILTER (WHERE d = 'DATA') AS dl, count(*) FILTER (WHERE d = 'TRANSMISSION') AS tl FROM c GROUP BY s),
+z AS (SELECT n.site, n.data > 0 AS has_data, coalesce(near, 0) AS near, site % 7 AS component,
+  6.0::DOUBLE * CAST(n.data > 0 AS INT) + 1.5::DOUBLE * n.data + 0.8::DOUBLE * coalesce(near, 0) + 0.6::DOUBLE * coalesce(links, 0) + 1.2::DOUBLE * coalesce(dl, 0) + 0.4::DOUBLE * coalesce(tl, 0) AS score FROM n LEFT JOIN l ON s = site),
+y AS (SELECT *, bool_or(has_data) OVER (PARTITION BY component) AS any_data FROM z),
+w AS (SELECT *, row_number() OVER (PARTITION BY component ORDER BY score DESC, near DESC, site DESC) AS r, max(score) OVER (PARTITION BY component) AS best FROM y WHERE has_data OR NOT any_data)
+SELECT component, site AS node, round(score, 6) AS score FROM w WHERE CASE WHEN any_data THEN r <= 3 AND score + 1e-9 >= 0.85 * best ELSE r = 1 END""",
+)
+def core_anchors(spark, sf_dir):
+    scores = T.core_scores(_placed(spark, sf_dir), mesh(spark, sf_dir)).withColumn("component", F.col("node") % 7)
+    return G.anchors(scores).withColumn("score", F.round("score", 6))

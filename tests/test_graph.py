@@ -5,6 +5,7 @@ import random
 import pytest
 
 from cascata.operators import graph as G
+from cascata.operators import topology as T
 from cascata.operators.components import connected_components
 from cascata.queries import graphs
 
@@ -96,8 +97,10 @@ def test_rings_and_patterns():
 
 
 def test_anchors_and_radius(spark):
-    s = spark.createDataFrame([(1, 1, 10.0, False), (1, 2, 9.0, True), (1, 3, 8.0, True), (1, 4, 8.6, False), (1, 5, 8.7, False)], "component long, node long, score double, has_data boolean")
-    assert [r.node for r in G.anchors(s).orderBy("node").collect()] == [1, 2, 5]
+    rows = [(1, 1, 10.0, False, 9), (1, 2, 9.0, True, 1), (1, 3, 8.0, True, 1), (1, 4, 7.0, True, 1), (2, 5, 3.0, False, 1), (2, 6, 3.0, False, 2), (2, 7, 3.0, False, 2), (3, 8, 2.0, True, 1), (3, 9, 2.0, True, 1), (3, 10, 2.0, True, 1), (3, 11, 2.0, True, 2)]
+    s = spark.createDataFrame(rows, "component long, node long, score double, has_data boolean, neighbours long")
+    assert [r.node for r in G.anchors(s).orderBy("node").collect()] == [2, 3, 7, 9, 10, 11]
+    assert G.anchors(s.limit(0)).count() == 0
     p = spark.createDataFrame([(1, 2, 5.0), (1, 3, 7.0)], "a long, b long, km double")
     assert {r.node: r.radius_km for r in G.density_radius(p, 2, 1.5, 1.0, 50.0).collect()} == {1: 10.5, 2: 50.0, 3: 50.0}
 
@@ -116,3 +119,19 @@ def test_common_upstream_at_any_depth(spark, tmp_path):
     day = datetime.date(1995, 3, 1)
     spark.createDataFrame([(deep, 2e5, day, "5-LOW"), (4, 2e5, day, "5-LOW")], "o_custkey long, o_totalprice double, o_orderdate date, o_orderpriority string").coalesce(1).write.parquet(f"file://{tmp_path}/orders.parquet")
     assert [tuple(r) for r in graphs.common_upstream(spark, f"file://{tmp_path}").collect()] == [("5-LOW-1995-3", 1, 15, 14)]
+
+
+def test_misconnections_and_core_scores(spark):
+    e = spark.createDataFrame(
+        [(1, "A", "DATA"), (2, "B", "RAN"), (3, "B", "TRANSMISSION"), (4, "C", "RAN"), (5, "C", "TRANSMISSION"), (6, "D", "RAN"), (7, "E", "DATA"), (8, "E", "TRANSMISSION"), (9, None, "DATA"), (10, "F", None)],
+        "ne_id long, site string, domain string",
+    )
+    # A-B by transmission only; A-C also by DATA and RAN; D has no transmission; E is a backbone site; 9 has no site.
+    links = spark.createDataFrame([(1, 3), (3, 1), (5, 1), (1, 4), (1, 6), (1, 8), (9, 3), (2, 3), (1, 10), (1, 1)], "src long, dst long")
+    assert [tuple(r) for r in T.misconnection_pairs(e, links).collect()] == [("A", "B")]
+    got = {r.node: (round(r.score, 6), r.has_data, r.neighbours) for r in T.core_scores(e, links).collect()}
+    # A: bonus 6, one DATA element, 5 neighbours, 6 links, each with a DATA end of its own.
+    assert got["A"] == (round(6 + 1.5 + 5 * 0.8 + 6 * 0.6 + 6 * 1.2, 6), True, 5)
+    assert got["B"] == (round(0.8 + 0.6 + 0.4, 6), False, 1)
+    assert got["F"] == (round(0.8 + 0.6, 6), False, 1)
+    assert T.misconnection_pairs(e.limit(0), links).count() == T.core_scores(e.limit(0), links).count() == 0

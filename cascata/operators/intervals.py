@@ -111,3 +111,20 @@ def sliding_windows(df: DataFrame, ts: str, size: int, step: int) -> DataFrame:
     return df.withColumn("window_start", F.explode(F.sequence(first, F.floor(F.col(ts) / step) * step, F.lit(step).cast("long"))))
 
 
+
+
+def with_next(windows: DataFrame, points: DataFrame, keys: list[str], start: str, ts: str, bucket: int) -> DataFrame:
+    """``windows`` with ``next_ts``: the key's earliest point at or after ``start``, if any. Rows with a null key or start are left out.
+
+    A sort within each key and time bucket, where the first point of the next filled bucket stands in for all later ones, so
+    that the work does not grow with windows times points, and a hot key is dealt by its buckets.
+    """
+    there = lambda df, t: df.where(F.concat(*[F.col(k).isNotNull().cast("string") for k in keys]) == "true" * len(keys)).where(F.col(t).isNotNull()).withColumn("_b", F.floor(F.col(t) / bucket))
+    w, p = there(windows, start), there(points.select(*keys, F.col(ts).alias("_t")), "_t")
+    none = F.lit(None).cast(w.select(F.struct(*windows.columns)).schema[0].dataType)
+    firsts = p.groupBy(*keys, "_b").agg(F.min("_t").alias("_t")).unionByName(w.select(*keys, "_b", F.lit(None).cast("long").alias("_t")).distinct()).groupBy(*keys, "_b").agg(F.min("_t").alias("_t"))
+    later = firsts.withColumn("_t", F.last("_t", True).over(Window.partitionBy(*keys).orderBy(F.desc("_b")).rowsBetween(Window.unboundedPreceding, -1))).where("_t is not null")
+    marks = p.unionByName(later).select(*keys, "_b", "_t", F.col("_t").alias("_p"), none.alias("_w"))
+    both = marks.unionByName(w.select(*keys, "_b", F.col(start).alias("_t"), F.lit(None).cast("long").alias("_p"), F.struct(*windows.columns).alias("_w")))
+    order = Window.partitionBy(*keys, "_b").orderBy(F.desc("_t"), F.col("_p").isNull()).rowsBetween(Window.unboundedPreceding, 0)
+    return both.withColumn("next_ts", F.last("_p", True).over(order)).where("_w is not null").select("_w.*", "next_ts")

@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cascata.operators.intervals import with_next
 from cascata.operators.metrics import RELATION_SCORES, f1
 
+#: Time buckets, in the unit of the times (microseconds): of points, and of windows that meet spans of groups.
+HOUR, DAY = 3_600_000_000, 86_400_000_000
 #: Times in free text: date and time of day, with either separator.
 TIME_TEXT = r"(\d{4}[-/]\d{1,2}[-/]\d{1,2}[ T]\d{1,2}:\d{2}(?::\d{2})?)"
 
@@ -59,8 +62,8 @@ def in_ticket_windows(alarms: DataFrame, targets: DataFrame, windows: DataFrame)
 
     alarms: site, ts. targets: ticket, site. windows: ticket, start_ts, end_ts, merged, ends included.
     """
-    asked = targets.select("ticket", "site").distinct().join(windows, "ticket")
-    return asked.join(alarms.select("site", "ts"), "site").where(F.col("ts").between(F.col("start_ts"), F.col("end_ts"))).select("ticket", "site").distinct()
+    asked = targets.select("ticket", "site").distinct().join(windows.select("ticket", "start_ts", "end_ts"), "ticket")
+    return with_next(asked, alarms, ["site"], "start_ts", "ts", HOUR).where("next_ts <= end_ts").select("ticket", "site").distinct()
 
 
 def upper_bound(targets: DataFrame, direct: DataFrame, inferred: DataFrame) -> DataFrame:
@@ -111,9 +114,19 @@ def groups_by_evidence(evidence: DataFrame, members: DataFrame, excluded: DataFr
 
 
 def groups_by_windows(windows: DataFrame, candidates: DataFrame, members: DataFrame, excluded: DataFrame | None = None) -> DataFrame:
-    """(ticket, group_id): groups with an alarm on a candidate site (ticket, site) inside one of the ticket's windows."""
-    asked = candidates.select("ticket", "site").distinct().join(windows, "ticket")
-    found = asked.join(members.select("group_id", "site", "ts"), "site").where(F.col("ts").between(F.col("start_ts"), F.col("end_ts"))).select("ticket", "group_id").distinct()
+    """(ticket, group_id): groups with an alarm on a candidate site (ticket, site) inside one of the ticket's windows.
+
+    A window meets the spans of a site's groups, not their alarms. Where the first or last alarm of a span lies in the window,
+    that is all; only for a window inside a span the next alarm after its start is looked up.
+    """
+    asked = candidates.select("ticket", "site").distinct().join(windows.select("ticket", "start_ts", "end_ts"), "ticket").where("start_ts <= end_ts")
+    spans = members.groupBy("site", "group_id").agg(F.min("ts").alias("first"), F.max("ts").alias("last")).where("first is not null")
+    days = lambda df, a, b: df.withColumn("_b", F.explode(F.sequence(F.floor(F.col(a) / DAY), F.floor(F.col(b) / DAY))))
+    met = days(asked, "start_ts", "end_ts").join(days(spans, "first", "last"), ["site", "_b"])
+    met = met.where((F.col("first") <= F.col("end_ts")) & (F.col("last") >= F.col("start_ts")) & (F.floor(F.greatest("first", "start_ts") / DAY) == F.col("_b")))  # each pair once
+    inside = (F.col("first") >= F.col("start_ts")) | (F.col("last") <= F.col("end_ts"))
+    deeper = with_next(met.where(~inside).select("ticket", "site", "group_id", "start_ts", "end_ts"), members, ["site", "group_id"], "start_ts", "ts", DAY).where("next_ts <= end_ts")
+    found = met.where(inside).select("ticket", "group_id").union(deeper.select("ticket", "group_id")).distinct()
     return found if excluded is None else found.join(excluded.select("ticket", "group_id"), ["ticket", "group_id"], "left_anti")
 
 

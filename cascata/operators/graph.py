@@ -10,15 +10,17 @@ from __future__ import annotations
 import itertools
 import math
 from collections import defaultdict, deque
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cascata.functions.scalars import haversine_km
 from cascata.operators.components import connected_components
-from cascata.session import materialize
+from cascata.session import materialize, passing
 
 DIRECTIONS = ("downstream", "upstream", "either", "bidirectional")
 
@@ -428,26 +430,61 @@ def path_lengths(edges: DataFrame, pairs: DataFrame, least: int, most: int) -> D
     return pairs.join(found.withColumnsRenamed({"src": "a", "dst": "b"}), ["a", "b"]).where(F.col("hop") >= least)
 
 
-def layered_order(edges: DataFrame) -> DataFrame:
+def _layers_here(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (node, src, least) of a part's nodes, src null in a node's own row: the layers that follow from that part alone."""
+    held = list(batches)
+    if not held:
+        return
+    rows = pa.Table.from_batches(held)
+    layer, waits, after = {}, {}, defaultdict(list)
+    for node, src, least in zip(rows["node"].to_pylist(), rows["src"].to_pylist(), rows["least"].to_pylist()):
+        if src is None:
+            layer[node] = least
+        else:
+            waits[node] = waits.get(node, 0) + 1
+            after[src].append(node)
+    ready = [n for n in layer if n not in waits]
+    for node in ready:  # grows while it is read
+        for dst in after.get(node, ()):
+            layer[dst] = max(layer[dst], layer[node] + 1)
+            waits[dst] -= 1
+            if not waits[dst]:
+                ready.append(dst)
+    yield pa.RecordBatch.from_arrays([pa.array(ready, rows.schema.field("node").type), pa.array([layer[n] for n in ready], pa.int32())], names=["node", "layer"])
+
+
+def layered_order(edges: DataFrame, part: int = 1 << 20) -> DataFrame:
     """(node, layer): layer 0 has no upstream; others are one below their deepest upstream; nodes on and below cycles stay out.
 
-    A round for each layer, until no node is ready.
+    Nodes are dealt by ranges to parts of about ``part`` rows, each with the edges into it. A round orders in each part all that
+    follows from what it holds, and hands the layers on; so there are as many rounds as a path changes parts, not a round for
+    each layer, and one when everything fits into one part. Edges with a null end are left out.
     """
+    spark = edges.sparkSession
+    kind = dict(edges.dtypes)["src"]
+    edges = edges.where("src is not null and dst is not null")
     nodes = edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct()
-    left, done, layer = materialize(edges.select("src", "dst").distinct(), "layers"), None, 0
-    pending = materialize(nodes, "layers")
-    while True:
-        ready = pending.join(left.select(F.col("dst").alias("node")).distinct(), "node", "left_anti")
-        ready = materialize(ready.select("node", F.lit(layer).alias("layer")), "layers")
-        if ready.isEmpty():
-            break
-        done = ready if done is None else done.unionByName(ready)
-        if layer % 32 == 31:  # keeps the plan of a long order short
-            done = materialize(done, "layers")
-        pending = materialize(pending.join(ready, "node", "left_anti"), "layers")
-        left = materialize(left.join(ready.select(F.col("node").alias("src")), "src", "left_anti").select("src", "dst"), "layers")
-        layer += 1
-    return done if done is not None else nodes.limit(0).withColumn("layer", F.lit(0))
+    with passing(spark) as keep:
+        left = materialize(edges.select("src", "dst").distinct(), "layers")
+        pending = materialize(nodes.select("node", F.lit(0).alias("least")), "layers")
+        done = pending.limit(0).select("node", F.col("least").alias("layer"))
+        rounds = 0
+        while n := pending.count():
+            rows = pending.select("node", F.lit(None).cast(kind).alias("src"), "least").unionByName(left.select(F.col("dst").alias("node"), "src", F.lit(None).cast("int").alias("least")))
+            parts = -(-(n + left.count()) // part)
+            dealt = rows.repartitionByRange(parts, "node") if parts > 1 else rows.repartition(1)
+            found = materialize(dealt.mapInArrow(_layers_here, f"node {kind}, layer int"), "layers")
+            if found.isEmpty():
+                break
+            done, rounds = done.unionByName(found), rounds + 1
+            if rounds % 32 == 0:  # keeps the plan of many rounds short
+                done = materialize(done, "layers")
+            known = found.withColumnsRenamed({"node": "src"})
+            reached = left.join(known, "src").groupBy(F.col("dst").alias("node")).agg((F.max("layer") + 1).alias("_r"))
+            pending = pending.join(found, "node", "left_anti").join(reached, "node", "left")
+            pending = materialize(pending.select("node", F.greatest("least", F.coalesce("_r", F.lit(0))).alias("least")), "layers")
+            left = materialize(left.join(known, "src", "left_anti").select("src", "dst"), "layers")
+        return keep(materialize(done, "layers"))
 
 
 def power_iteration(target: np.ndarray, source: np.ndarray, weight: np.ndarray, size: int, rounds: int = 80, tolerance: float = 1e-6) -> float:

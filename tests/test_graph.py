@@ -8,6 +8,7 @@ from cascata.operators import graph as G
 from cascata.operators import topology as T
 from cascata.operators.components import connected_components
 from cascata.queries import graphs
+from cascata.session import materialize
 
 
 def edges(spark, rows):
@@ -112,6 +113,18 @@ def test_layers_go_on_to_the_end_of_a_chain(spark, tmp_path):
     assert got == {1001 + 2 * i: i for i in range(n)}
 
 
+def test_layers_take_few_rounds(spark, monkeypatch):
+    rounds = []
+    monkeypatch.setattr(G, "materialize", lambda df, label: rounds.append(label) or materialize(df, label))
+    chain = [(i, i + 1) for i in range(2000)] + [(5, 900), (3000, 1500), (2000, 4000), (4000, 4001), (4001, 4000), (4001, 4002), (None, 7), (9, None)]
+    edges = spark.createDataFrame(chain, "src long, dst long")
+    want = {i: i for i in range(2001)} | {3000: 0}
+    assert {r.node: r.layer for r in G.layered_order(edges).collect()} == want and len(rounds) < 12
+    rounds.clear()
+    assert {r.node: r.layer for r in G.layered_order(edges, 700).collect()} == want and len(rounds) < 60
+    assert G.layered_order(edges.limit(0)).count() == 0
+
+
 def test_common_upstream_at_any_depth(spark, tmp_path):
     deep = 3**14
     keys = [deep // 3**k for k in range(15)] + [4]

@@ -12,9 +12,13 @@ and two different sets (or blocks) with one size and one 128-bit digest.
 3. Each block gets signature trees (``signature_tree``), and their dual traversal finds the pairs that may link. The first
    round takes the blocks of a few leading shingles of each document and of a block only pairs that span it; the documents'
    most frequent partners are verified, and links make first components. The second round takes every block that holds
-   more than one component, and verifies all pairs of different components that the trees leave.
-4. A block of more than ``CHUNK`` documents is cut by size class, by component where one fills a chunk, and by hash. In the
-   second round each pair of its chunks that may hold links has trees of its own, so that no task holds a hot block.
+   more than one component. The pairs that its trees leave may be as many as a group's size squared, so they only join
+   components to regions: a task hands on what joins two that it had not joined before.
+4. A link between two components lies within a region. The whole sets of a region's documents meet once, and its trees, now
+   with a bit for each shared shingle, give the links that join its components.
+5. A block of more than ``CHUNK`` documents (or a region of more than ``REGION`` shingles) is cut by size class, by component
+   where one fills a chunk, and by hash. In the second round each pair of its chunks that may hold links has trees of its
+   own, so that no task holds a hot block.
 
 The frequent list only orders shingles, and the first round only saves work: a poor one costs time, never a link. Null,
 empty and wordless texts have the empty set, link with nothing and are their own component. Rows that repeat a doc_id are
@@ -27,11 +31,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cascata.llm.common import attach, bounded_batches
-from cascata.llm.signature_tree import block_pairs, signature, size_class
+from cascata.llm.signature_tree import block_pairs, linked_pairs, signature, size_class
 from cascata.llm.tokens import Frequent, Words, is_in, mix64, pieces, window_hashes
 from cascata.operators.components import connected_components
 from cascata.session import materialize, passing
@@ -43,6 +47,8 @@ HOT_SHARE, HOT_MOST = 0.0002, 1 << 19
 #: Of each document's prefix, the first round takes so many shingles that are not listed and so many that are.
 LEADING = 3
 CHUNK = 1024
+#: Regions of more than so many shingles (and ``PER_SET`` more for each document) are cut.
+REGION, PER_SET = 1 << 19, 64
 #: Tree tasks gather blocks up to this many bytes before they build their trees.
 FOREST_BYTES = 8 << 20
 _SALTS = np.array([0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64)
@@ -174,8 +180,30 @@ def _prefix_rows(hot_values, leading: bool):
     return rows
 
 
+def _by_unit(pairs_of):
+    """Rows sorted by unit (u1, u2), gathered to ``FOREST_BYTES`` of whole units for each call of ``pairs_of``."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            held.append(batch)
+            if sum(b.nbytes for b in held) < FOREST_BYTES:
+                continue
+            rows = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            u1, u2 = (np.asarray(rows.column(c)) for c in ("u1", "u2"))
+            whole = int(np.flatnonzero((u1 != u1[-1]) | (u2 != u2[-1]))[-1]) + 1 if (u1[0], u2[0]) != (u1[-1], u2[-1]) else 0  # the last block may go on
+            if whole:
+                yield from pairs_of(rows.slice(0, whole))
+            held = [rows.slice(whole)]
+        if sum(map(len, held)):
+            yield from pairs_of(pa.Table.from_batches(held).combine_chunks().to_batches()[0])
+
+    return task
+
+
 def _tree_task(spanning: bool):
-    """Rows (u1, u2, side, n, doc_id, comp, sig), sorted by block (u1, u2): the pairs that each block's trees leave."""
+    """Rows (u1, u2, side, n, doc_id, comp, sig), sorted by block (u1, u2): pairs of docs that span each block (the first
+    round), or pairs of components that join to regions what its trees leave."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def pairs_of(rows: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
@@ -186,36 +214,86 @@ def _tree_task(spanning: bool):
         crossed = np.bincount(block, side) > 0
         arrays = (np.asarray(rows.column(c)) for c in ("n", "doc_id", "comp"))
         last = np.zeros((0, 2), np.int64)
-        for a, b in block_pairs(block, side, crossed, *arrays, rows.column("sig"), spanning):
+        for a, b in block_pairs(block, side, crossed, *arrays, rows.column("sig"), spanning, of_comps=not spanning):
             last = np.unique(np.concatenate((last, np.stack((a, b), 1))), axis=0)
             if len(last) >= 100_000:
                 yield pa.RecordBatch.from_arrays([pa.array(last[:, 0]), pa.array(last[:, 1])], schema=schema)
                 last = last[:0]
         yield pa.RecordBatch.from_arrays([pa.array(last[:, 0]), pa.array(last[:, 1])], schema=schema)
 
-    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        for batch in batches:
-            held.append(batch)
-            if sum(b.nbytes for b in held) < FOREST_BYTES:
-                continue
-            rows = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-            u1, u2 = (np.asarray(rows.column(c)) for c in ("u1", "u2"))
-            whole = int(np.flatnonzero((u1 != u1[-1]) | (u2 != u2[-1]))[-1]) + 1 if (u1[0], u2[0]) != (u1[-1], u2[-1]) else 0  # the last block may go on
-            if whole:
-                yield from pairs_of(rows.slice(0, whole))
-            held = [rows.slice(whole)]
-        if sum(map(len, held)):
-            yield from pairs_of(pa.Table.from_batches(held).combine_chunks().to_batches()[0])
+    return _by_unit(pairs_of)
+
+
+def _region_task(rows: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Rows (u1, u2, side, doc_id, comp, sig), sig a whole set: the links that join components of each unit."""
+    key = [np.asarray(rows.column(c)) for c in ("u1", "u2")]
+    new = np.flatnonzero(np.concatenate(([True], (key[0][1:] != key[0][:-1]) | (key[1][1:] != key[1][:-1]))))
+    side, doc, comp = (np.asarray(rows.column(c)).astype(np.int64) for c in ("side", "doc_id", "comp"))
+    found = [np.zeros((0, 2), np.int64)]
+    for x, y in zip(new.tolist(), [*new[1:].tolist(), len(rows)]):
+        sets = [np.frombuffer(v, np.uint64) for v in rows.column("sig").slice(x, y - x).to_pylist()]
+        bounds = np.concatenate(([0], np.cumsum([len(v) for v in sets])))
+        found += [np.stack(p, 1) for p in linked_pairs(np.concatenate(sets), bounds, side[x:y], doc[x:y], comp[x:y])]
+    pairs = np.unique(np.concatenate(found), axis=0)
+    yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], schema=pa.schema([("a", pa.int64()), ("b", pa.int64())]))
+
+
+_PLACES = "u1 long, u2 long, side int, doc_id long, comp long, sig binary"
 
-    return task
 
+def _set_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row with the whole set for each place (n, u1, u2, side, comp) of a document that names the set's size."""
+    schema = pa.schema([("u1", pa.int64()), ("u2", pa.int64()), ("side", pa.int32()), ("doc_id", pa.int64()), ("comp", pa.int64()), ("sig", pa.binary())])
+    out, held = [], 0
 
-def _cut(leaves: DataFrame) -> DataFrame:
+    def full() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
+
+    for batch in batches:
+        ids, places = batch.column("doc_id").to_pylist(), batch.column("places")
+        for a, b, raw, bounds in pieces(batch.column("text")):
+            sets, first = shingle_sets(raw, bounds)
+            for i, at in enumerate(places.slice(a, b - a).to_pylist()):
+                mine = sets[first[i] : first[i + 1]]
+                for p in at:
+                    if p["n"] == len(mine):
+                        out.append((p["u1"], p["u2"], p["side"], ids[a + i], p["comp"], mine.tobytes()))
+                        held += mine.nbytes + 64
+                    if held > FOREST_BYTES // 2:
+                        yield full()
+                        out, held = [], 0
+    if out:
+        yield full()
+
+
+def region_links(joined: DataFrame, comps: DataFrame, sizes: DataFrame, texts: DataFrame) -> DataFrame:
+    """(a, b): links that join whatever components are linked within the regions to which the pairs ``joined`` join them.
+
+    comps: node, comp of each representative; sizes: doc_id, n of all rows (a doc_id may repeat); texts: doc_id, text of
+    representatives.
+    """
+    regions = connected_components(joined, "a", "b").select(F.col("node").alias("_n"), F.col("component").alias("token"))
+    members = comps.join(regions, F.col("comp") == F.col("_n")).join(sizes.distinct(), F.col("node") == F.col("doc_id")).drop("doc_id")
+    kind = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(1.35))).cast("int")  # similar sizes: one kind or neighbours
+    members = materialize(members.select("token", F.col("node").alias("doc_id"), "comp", "n", kind.alias("kind"), F.lit(None).cast("binary").alias("sig")), "ngram-members")
+    weight = F.col("n") + PER_SET
+    large = materialize(members.groupBy("token").agg(F.sum(weight).alias("_w")).where(F.col("_w") > REGION).select(F.col("token").alias("_t")), "ngram-large")
+    in_large = F.col("token") == F.col("_t")
+    units = members.join(large, in_large, "left_anti").select(F.col("token").alias("u1"), F.lit(0).cast("long").alias("u2"), F.lit(0).alias("side"), "n", "doc_id", "comp")
+    if not large.isEmpty():
+        units = units.unionByName(_cut(members.join(large, in_large, "left_semi"), weight, REGION).drop("sig"))
+    places = units.groupBy(F.col("doc_id").alias("_d")).agg(F.collect_list(F.struct("n", "u1", "u2", "side", "comp")).alias("places"))
+    places = materialize(places, "ngram-places")
+    size = places.agg(F.sum(64 + 48 * F.size("places"))).first()[0] or 0
+    sets = attach(texts.select("doc_id", "text"), places, "doc_id", "_d", "inner", size=size).select("doc_id", "text", "places").mapInArrow(_set_rows, _PLACES)
+    return sets.repartition("u1", "u2").sortWithinPartitions("u1", "u2").mapInArrow(_by_unit(_region_task), "a long, b long")
+
+
+def _cut(leaves: DataFrame, weight: Column, chunk: int) -> DataFrame:
     """Leaves of large blocks as rows of units (u1, u2): a chunk (one side) or two chunks whose pairs lie across them."""
-    cells = leaves.groupBy("token", "kind", "comp").agg(F.count("*").alias("n_cell"))
-    cells = cells.withColumn("pure", F.when(F.col("n_cell") >= CHUNK // 2, F.col("comp")))
-    groups = materialize(cells.groupBy("token", "kind", "pure").agg(F.ceil(F.sum("n_cell") / CHUNK).cast("int").alias("chunks")), "ngram-cells")
+    cells = leaves.groupBy("token", "kind", "comp").agg(F.sum(weight).alias("n_cell"))
+    cells = cells.withColumn("pure", F.when(F.col("n_cell") >= chunk // 2, F.col("comp")))
+    groups = materialize(cells.groupBy("token", "kind", "pure").agg(F.ceil(F.sum("n_cell") / chunk).cast("int").alias("chunks")), "ngram-cells")
     pure = materialize(cells.where("pure is not null").select(F.col("token").alias("_t"), F.col("kind").alias("_k"), F.col("pure").alias("_p")), "ngram-pure")
     x, y = (groups.select(F.col("token").alias(f"{s}t"), F.col("kind").alias(f"{s}k"), F.col("pure").alias(f"{s}p"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias(f"{s}c")) for s in "xy")
     same_cell = (F.col("yk") == F.col("xk")) & F.col("yp").eqNullSafe(F.col("xp"))
@@ -240,9 +318,9 @@ def _cut(leaves: DataFrame) -> DataFrame:
 
 
 def candidates(texts: DataFrame, hot: tuple[np.ndarray, np.ndarray], first_round: bool) -> DataFrame:
-    """(a, b): pairs of representatives in different components that may link. texts: doc_id, comp, text.
+    """(a, b): in the first round, pairs of representatives that span the blocks of each document's leading shingles.
 
-    In the first round, pairs that span the blocks of each document's leading shingles.
+    In the second, pairs of components: what they join holds every two components that may link. texts: doc_id, comp, text.
     """
     spark = texts.sparkSession
     rows = texts.select("doc_id", "comp", "text").mapInArrow(_prefix_rows(spark.sparkContext.broadcast(hot), first_round), _ROWS)
@@ -250,6 +328,8 @@ def candidates(texts: DataFrame, hot: tuple[np.ndarray, np.ndarray], first_round
         rows = materialize(rows, "ngram-leading")
     blocks = (
         rows.where("token is not null")
+        .select("token", "doc_id", "comp")
+        .repartition("token")  # rows without the two digests: most shingles are of one document, which combining them first would only widen
         .groupBy("token")
         .agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("n_docs"), F.bit_xor(F.xxhash64("doc_id")).alias("x"), F.bit_xor(F.xxhash64("doc_id", F.lit(1))).alias("y"))
         .where("low < high")
@@ -270,7 +350,7 @@ def candidates(texts: DataFrame, hot: tuple[np.ndarray, np.ndarray], first_round
         place = 1 + F.pmod(F.xxhash64("doc_id", "seed"), chunks) + F.col("seed") * chunks
         units = plain.unionByName(twice.select(F.col("token").alias("u1"), place.cast("long").alias("u2"), F.lit(0).alias("side"), "n", "doc_id", "comp", "sig"))
     else:
-        units = plain.unionByName(_cut(leaves.where(F.col("n_docs") > CHUNK).drop("n_docs")))
+        units = plain.unionByName(_cut(leaves.where(F.col("n_docs") > CHUNK).drop("n_docs"), F.lit(1), CHUNK))
     dealt = units.repartition("u1", "u2").sortWithinPartitions("u1", "u2")
     return dealt.mapInArrow(_tree_task(first_round), "a long, b long")
 
@@ -317,7 +397,10 @@ def _linked(docs: DataFrame) -> DataFrame:
     comps = materialize(reps.join(first_comps, F.col("node") == F.col("_n"), "left").select("node", F.coalesce("_c", "node").alias("comp")), "ngram-comps")
 
     open_pairs = candidates(attach(docs, comps, "doc_id", "node", "inner"), hot, first_round=False)
-    links = materialize(verified(materialize(open_pairs.distinct(), "ngram-pairs"), texts), "ngram-links").union(first_links)
+    joined = materialize(open_pairs, "ngram-pairs")
+    links = first_links
+    if not joined.isEmpty():
+        links = materialize(region_links(joined, comps, filled.select("doc_id", "n"), texts), "ngram-links").union(first_links)
     final = connected_components(links, "a", "b").select(F.col("node").alias("_n"), F.col("component").alias("_c"))
     named = classes.join(final, F.col("rep") == F.col("_n"), "left").select("n", "d1", "d2", F.coalesce("_c", "rep").alias("component_id"))
     joined = filled.select("doc_id", "n", "d1", "d2").join(named, ["n", "d1", "d2"], "left").select("doc_id", F.col("n").alias("n_shingles"), "component_id")

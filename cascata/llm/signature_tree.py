@@ -19,6 +19,8 @@ import numpy as np
 FAN_OUT = 8
 #: Node pairs that one step evaluates take at most this many 64-bit words for each side.
 STEP_WORDS = 1 << 19
+#: Bitmaps that tell all shared tokens apart take at most so many bytes for the sets that are compared at once.
+EXACT_BYTES = 64 << 20
 
 
 def _classes() -> np.ndarray:
@@ -52,11 +54,12 @@ def signature(tokens: np.ndarray) -> bytes:
 class Forest:
     """Trees over leaves that come sorted by tree. ``label`` may change between steps (``refresh``)."""
 
-    def __init__(self, bits: np.ndarray, sizes: np.ndarray, labels: np.ndarray, trees: np.ndarray):
-        """trees: where each tree's leaves begin."""
+    def __init__(self, bits: np.ndarray, sizes: np.ndarray, labels: np.ndarray, trees: np.ndarray, extra: np.ndarray | None = None):
+        """trees: where each tree's leaves begin. extra: the most that a leaf's bitmap may count too little, by its size if not given."""
         self.labels = labels
-        popcount = np.bitwise_count(bits).sum(axis=1).astype(np.int64)
-        self.levels = [(bits, sizes, sizes, sizes - popcount)]
+        if extra is None:
+            extra = sizes - np.bitwise_count(bits).sum(axis=1).astype(np.int64)
+        self.levels = [(bits, sizes, sizes, extra)]
         self.child = [np.arange(len(sizes) + 1)]
         first, n = trees, np.diff(np.append(trees, len(sizes)))
         while (n > 1).any():
@@ -152,16 +155,18 @@ def _matrix(sigs, width: int) -> np.ndarray:
     return raw if raw.shape[1] * 64 == width else np.bitwise_or.reduce(raw.reshape(len(sigs), -1, width // 64), axis=1)
 
 
-def block_pairs(block: np.ndarray, side: np.ndarray, crossed: np.ndarray, size: np.ndarray, doc: np.ndarray, comp: np.ndarray, sigs, spanning: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def block_pairs(block: np.ndarray, side: np.ndarray, crossed: np.ndarray, size: np.ndarray, doc: np.ndarray, comp: np.ndarray, sigs, spanning: bool, of_comps: bool = False) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Pairs (a, b) of docs of one block that may be similar and are in different components, as arrays, a > b.
 
     Arrays have an entry per leaf: its block, its side (0 or 1) in a block whose pairs lie across two sides (``crossed``, by
     block), the set's size, doc, component, and its bitmap. ``spanning`` yields only pairs which join what no earlier pair
-    of that block has joined.
+    of that block has joined; ``of_comps`` yields pairs of components, and only those which join what no earlier pair of any
+    block here has joined.
     """
     kind = size_class(size)
     widths = width_of_class(kind)
-    names = np.unique(comp, return_inverse=True)[1].astype(np.int64)
+    if of_comps:
+        doc, spanning = comp, True
     for width in np.unique(widths).tolist():
         under = (kind > 0) & (width_of_class(np.maximum(kind - 1, 0)) == width)  # upper neighbours, with wider bitmaps
         here = np.flatnonzero((widths == width) | under)
@@ -196,10 +201,10 @@ def block_pairs(block: np.ndarray, side: np.ndarray, crossed: np.ndarray, size:
         for natural in np.unique(widths[order]).tolist():
             at = np.flatnonzero(widths[order] == natural)
             bits[at] = _matrix(sigs.take(order[at]), width)
-        if spanning:  # labels stand for what has been joined so far, block by block
+        if spanning and not of_comps:  # labels stand for what has been joined so far, block by block
             labels = np.arange(len(order))
         else:
-            labels = names[order]
+            labels = np.unique(comp[order], return_inverse=True)[1].astype(np.int64)
         forest = Forest(bits, size[order], labels, first)
         docs = doc[order]
         by_root = np.argsort(i, kind="stable")
@@ -209,3 +214,60 @@ def block_pairs(block: np.ndarray, side: np.ndarray, crossed: np.ndarray, size:
                 forest.refresh()
             differ = docs[a] != docs[b]
             yield np.maximum(docs[a[differ]], docs[b[differ]]), np.minimum(docs[a[differ]], docs[b[differ]])
+
+
+def _exact_bits(tokens: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(bitmaps, extra) of sets (sorted tokens, cut at ``bounds``): a bit for each token of two sets or more, or, where that
+    takes more than ``EXACT_BYTES``, for several tokens; extra is what a bitmap then counts too little at most."""
+    n = len(bounds) - 1
+    _, place, count = np.unique(tokens, return_inverse=True, return_counts=True)
+    shared = count > 1
+    number = np.cumsum(shared) - 1
+    row = np.repeat(np.arange(n), np.diff(bounds))[shared[place]]
+    bit = number[place][shared[place]]
+    words = max(1, -(-int(shared.sum()) // 64))
+    most = max(4, EXACT_BYTES // (8 * n))
+    if words > most:
+        words = most
+        bit = bit % (64 * words)
+    at = row * words + (bit >> 6)
+    if words == most:
+        order = np.argsort(at, kind="stable")
+        at, bit = at[order], bit[order]
+    bits = np.zeros(n * words, np.uint64)
+    if len(at):
+        first = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
+        bits[at[first]] = np.bitwise_or.reduceat(np.uint64(1) << (bit & 63).astype(np.uint64), first)
+    bits = bits.reshape(n, words)
+    return bits, np.bincount(row, minlength=n) - np.bitwise_count(bits).sum(axis=1).astype(np.int64)
+
+
+def linked_pairs(tokens: np.ndarray, bounds: np.ndarray, side: np.ndarray, doc: np.ndarray, comp: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs (a, b) of docs whose whole sets are similar and that join two components not yet joined by an earlier pair.
+
+    Every similar pair of different components is among what they join. Sets are sorted ``tokens`` cut at ``bounds``; where
+    any side is 1, pairs lie across the sides.
+    """
+    size = np.diff(bounds)
+    order = np.lexsort((size, comp, side))
+    moved = np.repeat(bounds[:-1][order] - np.concatenate(([0], np.cumsum(size[order])))[:-1], size[order])
+    tokens = tokens[moved + np.arange(len(tokens))]
+    size, side, doc = size[order], side[order], doc[order]
+    bounds = np.concatenate(([0], np.cumsum(size)))
+    labels = np.unique(comp[order], return_inverse=True)[1].astype(np.int64)
+    bits, extra = _exact_bits(tokens, bounds)
+    trees = np.flatnonzero(np.concatenate(([True], side[1:] != side[:-1])))
+    if side[-1] and len(trees) < 2:  # one side has no sets
+        return
+    forest = Forest(bits, size, labels, trees, extra)
+    for i, j in similar_leaves(forest, np.array([0]), np.array([len(trees) - 1])):
+        doubtful = np.flatnonzero((extra[i] > 0) & (extra[j] > 0))
+        if len(doubtful):
+            keep = np.ones(len(i), bool)
+            for k in doubtful.tolist():
+                x, y = (tokens[bounds[t[k]] : bounds[t[k] + 1]] for t in (i, j))
+                keep[k] = 7 * len(np.intersect1d(x, y, assume_unique=True)) >= 3 * (len(x) + len(y))
+            i, j = i[keep], j[keep]
+        i, j = hook(forest.labels, i, j)
+        forest.refresh()
+        yield np.maximum(doc[i], doc[j]), np.minimum(doc[i], doc[j])

@@ -142,6 +142,44 @@ def test_every_link_comes_from_the_trees(spark, monkeypatch, chunk):
     assert len({c for _, c in neither}) == len({t for _, t in rows})
 
 
+@pytest.mark.parametrize("region,exact", [(1 << 19, 64 << 20), (4000, 1 << 12)])
+def test_pairs_that_nearly_link_do_not_grow_with_the_square_of_their_group(spark, monkeypatch, region, exact):
+    """Texts of which two share some 0.6 to 0.75 of their shingles, and a few links among them; a doc_id that repeats."""
+    monkeypatch.setattr(ngram_join, "REGION", region)
+    monkeypatch.setattr(signature_tree, "EXACT_BYTES", exact)
+    rng = random.Random(8)
+    base = [f"w{i}" for i in range(150)]
+
+    def near(k, words=base):
+        words = list(words)
+        for j in range(k):
+            words[8 + 45 * j + rng.randint(0, 35)] = f"x{rng.random()}"
+        return words
+
+    found = [near(3) for _ in range(80)]
+    found += [near(1, w) for w in found[:20]]
+    rows = [(i, " ".join(w)) for i, w in enumerate(found)] + [(7, "a text that is of another length " * 2), (500, "a text that is of another length " * 2)]
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (t.split() for _, t in rows)]
+    up = {i: i for i, _ in rows}
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            x, y = up[rows[i][0]], up[rows[j][0]]
+            if x != y and 100 * len(a & b) >= 75 * len(a | b):
+                up = {k: min(x, y) if v in (x, y) else v for k, v in up.items()}
+    whole, made = ngram_join.candidates, []
+
+    def counted(texts, hot, first_round):
+        out = whole(texts, hot, first_round)
+        if not first_round:
+            made.append(out.count())
+        return out
+
+    monkeypatch.setattr(ngram_join, "candidates", counted)
+    got = {(r.doc_id, r.component_id) for r in ngram_join.link_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == set(up.items()) and 20 < len(set(up.values())) < len(up)
+    assert made[0] < 10 * len(rows)  # before: nearly all pairs of them, once for each of several blocks
+
+
 @pytest.mark.parametrize("hot", [False, True])
 def test_substring_dedup_matches_brute_force(spark, monkeypatch, hot):
     if hot:  # every minimiser is sent the way of frequent ones

@@ -499,6 +499,19 @@ def test_copies_of_a_page_leave_its_host_a_wrapper(spark):
     assert all(got[i] == f"Title {min(i, 7)}\nUnique text {min(i, 7)} about things" for i in range(4000))
 
 
+def test_every_page_counts_for_its_hosts_template(spark):
+    """A line on the 64 pages of the smallest hashes only is no template text; one on 90 % of all pages is."""
+    page = lambda i, line: f"<body><div><h1>Title {i}</h1><h6>{line}</h6><p>Unique text {i} about things</p></div></body>"
+    hashed = lambda pages: [tuple(r) for r in spark.createDataFrame([(p,) for p in pages], "html string").select(F.xxhash64("html").alias("o"), "html").orderBy("o").collect()]
+    smallest = hashed(page(i, "Always here") for i in range(2000))[:64]
+    others = [p for o, p in hashed(page(2000 + i, f"Said once {i}") for i in range(300)) if o > smallest[-1][0]]
+    pages = [p for _, p in smallest] + others
+    rows = [(i, "http://h.example/", p) for i, p in enumerate(pages)] + [(1000 + i, "http://g.example/", page(i, "Always here" if i % 20 else "Seldom")) for i in range(300)]
+    got = {r.page_id: r.text for r in html_extract.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert len(others) > 200 and all("Always here" in got[i] for i in range(64)) and all("Said once" in got[64 + i] for i in range(len(others)))
+    assert all(("Seldom" in got[1000 + i]) == (i % 20 == 0) and "Always" not in got[1000 + i] and f"Unique text {i} " in got[1000 + i] for i in range(300))
+
+
 def test_licenses(spark):
     mit = licenses.LICENSES["MIT"]
     varied = mit.replace("<year> <copyright holders>", "2019 Jane Doe").upper().replace("\n", " \n ").replace("SUBLICENSE", "SUB-LICENCE")

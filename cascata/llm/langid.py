@@ -79,6 +79,9 @@ def count_grams(raw: np.ndarray, bounds: np.ndarray) -> Iterator[tuple[np.ndarra
         yield (bins, counts[bins]) if len(bins) else None
 
 
+_VECTORS = "label string, order long, bins binary, counts binary, docs long"
+
+
 def _survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Per task: document frequencies (bins, counts under a null label); and the vectors of the sampled rows."""
     schema = pa.schema([("label", pa.string()), ("order", pa.int64()), ("bins", pa.binary()), ("counts", pa.binary()), ("docs", pa.int64())])
@@ -174,6 +177,40 @@ def fit_temperature(scores: np.ndarray, y: np.ndarray) -> float:
     return float(np.exp((a + b) / 2))
 
 
+def _learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """All of ``_VECTORS`` in one task of an executor: a row per label, and under a null label the idf and the temperature.
+
+    The driver holds the model alone: neither the sample nor what training keeps for each weight.
+    """
+    schema = pa.schema([("label", pa.string()), ("weights", pa.binary()), ("bias", pa.float64()), ("temperature", pa.float64())])
+    sample, frequency, docs = [], np.zeros(DIMENSIONS, np.int64), 0
+    for batch in batches:
+        for label, order, bins, counts, n in zip(*(batch.column(c).to_pylist() for c in ("label", "order", "bins", "counts", "docs"))):
+            if label is None:
+                frequency += np.frombuffer(counts, np.int64)
+                docs += n
+            else:
+                sample.append((order, label, bins, counts))
+    if not sample:
+        return
+    sample.sort()  # rows come in any order, and reruns must agree
+    idf = np.log((1 + docs) / (1 + frequency)) + 1
+    labels = sorted({label for _, label, _, _ in sample})
+    place = {x: i for i, x in enumerate(labels)}
+    y = np.array([place[label] for _, label, _, _ in sample])
+    rows = [(np.frombuffer(bins, np.uint16).astype(np.int64), np.frombuffer(counts, np.uint32)) for _, _, bins, counts in sample]
+    rows = [(bins, weigh(bins, counts, idf)) for bins, counts in rows]
+    back = np.arange(len(rows)) % 5 == 4  # rows are in hash order
+    fitted = [rows[i] for i in np.flatnonzero(~back)]
+    weights, bias = train_ftrl(fitted, y[~back], len(labels))
+    model = Model(labels, idf, weights.astype(np.float32), bias)
+    if back.any():
+        model.temperature = fit_temperature(np.array([rows[i][1] @ model.weights[rows[i][0]] + bias for i in np.flatnonzero(back)]), y[back])
+    yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.string()), pa.array([idf.tobytes()], pa.binary()), pa.array([0.0]), pa.array([float(model.temperature)])], schema=schema)
+    for i, label in enumerate(labels):
+        yield pa.RecordBatch.from_arrays([pa.array([label]), pa.array([model.weights[:, i].tobytes()], pa.binary()), pa.array([float(bias[i])]), pa.nulls(1, pa.float64())], schema=schema)
+
+
 def fit(documents: DataFrame, per_label: int = SAMPLE_PER_LABEL, most: int = SAMPLE_ROWS) -> Model | None:
     """Train on the labelled training rows of ``documents`` (doc_id, text, lang); None if there are none."""
     bounded_batches(documents.sparkSession)
@@ -186,27 +223,18 @@ def fit(documents: DataFrame, per_label: int = SAMPLE_PER_LABEL, most: int = SAM
     order = F.xxhash64(F.lit("langid"), F.col("doc_id").cast("string"))
     marked = usable.select("text", "lang", order.alias("order"), (F.pmod("order", F.lit(1_000_000)) < F.coalesce(F.element_at(share, F.col("lang")), F.lit(0.0)) * 1_000_000).alias("chosen"))
 
-    seen = materialize(marked.mapInArrow(_survey, "label string, order long, bins binary, counts binary, docs long"), "langid-survey")
+    seen = materialize(marked.mapInArrow(_survey, _VECTORS), "langid-survey")
     parts = seen.where("label is null").select("counts", "docs", F.pmod(F.xxhash64("counts"), F.lit(16)).alias("p"))
-    level = parts.groupBy("p").applyInArrow(_summed, "counts binary, docs long").collect()  # at most 16 rows of one size
-    frequency = sum((np.frombuffer(bytes(r["counts"]), np.int64) for r in level), np.zeros(DIMENSIONS, np.int64))
-    docs = sum(r["docs"] for r in level)
-    sample = seen.where("label is not null").select("label", "order", "bins", "counts").orderBy("order", "label", "bins", "counts").limit(most).collect()
-    if not sample:
+    level = parts.groupBy("p").applyInArrow(_summed, "counts binary, docs long")  # at most 16 rows of one size
+    level = level.select(F.lit(None).cast("string").alias("label"), F.lit(0).cast("long").alias("order"), F.lit(b"").alias("bins"), "counts", "docs")
+    sample = seen.where("label is not null").orderBy("order", "label", "bins", "counts").limit(most)
+    learnt = level.unionByName(sample).repartition(1).mapInArrow(_learn, "label string, weights binary, bias double, temperature double").collect()
+    if not learnt:
         return None
-    idf = np.log((1 + docs) / (1 + frequency)) + 1
-    labels = sorted({r["label"] for r in sample})
-    place = {x: i for i, x in enumerate(labels)}
-    rows = [(np.frombuffer(bytes(r["bins"]), np.uint16).astype(np.int64), np.frombuffer(bytes(r["counts"]), np.uint32)) for r in sample]
-    y = np.array([place[r["label"]] for r in sample])
-    rows = [(bins, weigh(bins, counts, idf)) for bins, counts in rows]
-    back = np.arange(len(rows)) % 5 == 4  # rows are in hash order
-    fitted = [rows[i] for i in np.flatnonzero(~back)]
-    weights, bias = train_ftrl(fitted, y[~back], len(labels))
-    model = Model(labels, idf, weights.astype(np.float32), bias)
-    if back.any():
-        model.temperature = fit_temperature(np.array([rows[i][1] @ model.weights[rows[i][0]] + bias for i in np.flatnonzero(back)]), y[back])
-    return model
+    (common,) = (r for r in learnt if r["label"] is None)
+    each = sorted((r for r in learnt if r["label"] is not None), key=lambda r: r["label"])
+    weights = np.stack([np.frombuffer(bytes(r["weights"]), np.float32) for r in each], axis=1)
+    return Model([r["label"] for r in each], np.frombuffer(bytes(common["weights"])), weights, np.array([r["bias"] for r in each]), common["temperature"])
 
 
 def annotate(documents: DataFrame, model: Model | None, carry: list[str], names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:

@@ -552,6 +552,20 @@ def test_language_id(spark):
     assert langid.fit(empty) is None and langid.predict(empty, None).count() == 0
 
 
+def test_language_id_trains_on_executors(spark, monkeypatch):
+    """The driver gets the model alone; it holds neither the sample nor the state of training."""
+    rows = [(i, ("lorem ipsum dolor" if i % 2 else "zwei drei vier") + " x" * (i % 5), "xx" if i % 2 else "yy") for i in range(80)]
+    docs = frame(spark, rows, "doc_id long, text string, lang string")
+
+    def never(*_):
+        raise AssertionError("trained in the driver")
+
+    monkeypatch.setattr(langid, "train_ftrl", never)
+    model = langid.fit(docs)
+    assert model.labels == ["xx", "yy"] and model.weights.shape == (langid.DIMENSIONS, 2) and model.idf.shape == (langid.DIMENSIONS,)
+    assert all(r.lang_pred == ("xx" if r.doc_id % 2 else "yy") for r in langid.predict(docs, model).collect())
+
+
 def test_ftrl_matches_a_plain_loop():
     """Per-coordinate FTRL-proximal with elastic net, one weight at a time, on the same order of rows."""
     rng = random.Random(8)

@@ -3,6 +3,7 @@ import random
 
 from pyspark.sql import functions as F
 
+from cascata.operators import components
 from cascata.operators.components import connected_components
 from cascata.operators.ranking import running_totals
 from cascata.session import materialize, passing
@@ -39,3 +40,19 @@ def test_components_of_a_long_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 100), (200, None)], "src long, dst long")
     got = dict(connected_components(edges).collect())
     assert got == {i: 0 for i in range(61)} | {100: 100, 200: 200}
+
+
+def test_components_of_few_edges_take_few_jobs(spark, monkeypatch):
+    """One task gives what the rounds give, and a handful of jobs leaves the driver's memory alone."""
+    rng = random.Random(3)
+    rows = [(rng.randrange(200) * 7 - 700, rng.randrange(200) * 7 - 700) for _ in range(170)] + [(None, 5), (6, None), (None, None), (99999, 99999)]
+    frame = spark.createDataFrame(rows, "src long, dst long")
+    spark.sparkContext.setJobGroup("components-few", "")
+    try:
+        one = sorted(map(tuple, connected_components(frame).collect()))
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("components-few")) <= 8
+    monkeypatch.setattr(components, "ONE_TASK", -1)
+    assert one == sorted(map(tuple, connected_components(frame).collect()))
+    assert {(5, 5), (6, 6), (99999, 99999)} <= set(one) and len({c for _, c in one}) > 10
